@@ -134,7 +134,7 @@ def series_outlier(sales: DataFrame) -> DataFrame:
     )
 
 
-def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None) -> DataFrame:
+def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """N6 — anomaly count, distinct zones flagged, overall label, joined causes.
 
     Label: any CRITICAL → CRITICAL; else any anomaly (peaks included) → WARNING; none →
@@ -142,12 +142,13 @@ def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None) -> DataF
     ``zone: text[:60]`` and they are joined with ``; `` in sorted order.  The flagged-zone
     list is bounded by the number of zones.
     """
-    d = anomalies.agg(
+    keys = by or []
+    d = anomalies.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("anomaly_count"),
         F.array_join(F.array_sort(F.collect_set("outlet_name")), ", ").alias("outlets_flagged"),
         F.max(F.when(F.col("severity") == "CRITICAL", 1).otherwise(0)).alias("_crit"),
     ).select(
-        "anomaly_count",
+        *keys, "anomaly_count",
         F.coalesce("outlets_flagged", F.lit("")).alias("outlets_flagged"),
         F.when(F.col("_crit") == 1, F.lit("CRITICAL"))
         .when(F.col("anomaly_count") > 0, F.lit("WARNING"))

@@ -1 +1,131 @@
-"""Registered queries."""
+"""Registered source / sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillroll.functions.exprs import day_str
+from tillroll.operators import anomaly, basket, clean
+from tillroll.plans.q_basket import _PAIRS
+from tillroll.plans.q_clean import _VALID, cleaned, read_raw, standardise_sql
+from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.sources import io
+from tillroll.sources import raw_feeds as rf
+from tillroll.sources.tables import ALL_COLUMNS, sales
+
+_MONEY_COLS = {"PRODUCT_MRP", "BASIC_RATE", "QTY_PACKS", "GROSS_AMT", "NET_AMT", "SCHEME_AMT", "GRP_SCHEME_AMT", "TOTAL_VOLUME_BILLED_LTR"}
+
+
+def _scan_select(prefix: str = "") -> list[str]:
+    out = []
+    for c in ALL_COLUMNS:
+        if c == "INVOICE_DATE":
+            out.append(f"CAST({prefix}{c} AS VARCHAR) AS {c}")
+        elif c in _MONEY_COLS:
+            out.append(f"CAST({prefix}{c} AS DOUBLE) AS {c}")
+        else:
+            out.append(f"{prefix}{c}")
+    return out
+
+
+@register("S1_scan_sales", with_sales("SELECT " + ", ".join(_scan_select()) + " FROM sales"))
+def s1(spark, sf):
+    s = sales(spark, sf)
+    return s.select(*[
+        day_str(c).alias(c) if c == "INVOICE_DATE" else (F.col(c).cast("double").alias(c) if c in _MONEY_COLS else F.col(c))
+        for c in ALL_COLUMNS
+    ])
+
+
+_RAW_TAX = f"raw AS ({rf.feed_sql('tax_charge')})"
+_NOT_EMPTY = " OR ".join(f'"{h}" IS NOT NULL' for h in rf.RAW_HEADERS["tax_charge"])
+
+
+@register("S2_S3_read_feed_csv", with_sales(f"WITH {_RAW_TAX}\nSELECT COUNT(*) AS rows, {len(rf.RAW_HEADERS['tax_charge'])} AS n_columns FROM raw WHERE {_NOT_EMPTY}"))
+def s2(spark, sf):
+    path = io.scratch_path(spark, "raw_tax_charge_csv")
+    io.write_csv(rf.tax_charge_feed(spark, sf), path)
+    df = io.read_feed_csv(spark, path)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("n_columns"))
+
+
+@register("S4_numeric_typing", with_sales(f"WITH {_RAW_TAX}\n" + "\nUNION ALL\n".join(
+    f"SELECT '{h.strip()}' AS column, COUNT(*) FILTER (WHERE \"{h}\" IS NOT NULL AND TRY_CAST(\"{h}\" AS DOUBLE) IS NULL) = 0 AS numeric FROM raw"
+    for h in rf.RAW_HEADERS["tax_charge"])))
+def s4(spark, sf):
+    return io.numeric_columns(read_raw(spark, sf, "tax_charge"))
+
+
+@register("S5_idempotent_load", with_sales(f"WITH {standardise_sql('tax_charge')}\nSELECT COUNT(*) AS rows FROM std_tax_charge WHERE {_VALID}"))
+def s5(spark, sf):
+    path = io.scratch_path(spark, "cleaned_sales_items")
+    df = clean.validate(cleaned(spark, sf, "tax_charge"))
+    io.load_table(df, path)
+    back = io.load_table(df, path)  # second load replaces the first
+    return back.agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("S6_partitioned_layout", with_sales("""
+SELECT COUNT(*) AS lines, CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS revenue FROM sales WHERE strftime(INVOICE_DATE, '%Y-%m') = '1997-08'"""))
+def s6(spark, sf):
+    path = io.scratch_path(spark, "sales_by_month")
+    io.write_partitioned(sales_of(spark, sf, "ZONE", "PRODUCT", "INVOICE_DATE", "INVOICE_NO", "NET_AMT"), path)
+    back = spark.read.parquet(path).filter(F.col("year_month") == "1997-08")  # partition pruning
+    return back.agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("NET_AMT"), 2).cast("double").alias("revenue"))
+
+
+@register("S7_csv_sink", with_sales(f"WITH {standardise_sql('hourly')}\nSELECT COUNT(*) AS rows, COUNT(DISTINCT outlet_name) AS outlets FROM std_hourly WHERE {_VALID}"))
+def s7(spark, sf):
+    path = io.scratch_path(spark, "cleaned_hourly_items_csv")
+    io.write_csv(clean.validate(cleaned(spark, sf, "hourly")), path)
+    back = io.read_feed_csv(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("outlet_name").alias("outlets"))
+
+
+@register("S8_json_results_roundtrip", with_sales(_PAIRS + "\nSELECT * FROM pairs ORDER BY lift DESC, co_count DESC, item_a, item_b LIMIT 30"))
+def s8(spark, sf):
+    pairs = basket.affinity_pairs(basket.bill_items(sales_of(spark, sf, "INVOICE_NO", "PRODUCT", "NET_AMT", "QTY_PACKS")))
+    path = io.scratch_path(spark, "basket_results_json")
+    io.write_json(pairs, path)
+    schema = "item_a string, item_b string, co_count bigint, support double, conf_a_b double, conf_b_a double, lift double"
+    return io.read_json(spark, path, schema)
+
+
+@register("S11_trace_append")
+def s11(spark, sf):
+    from tillroll.operators.audit import tag_questions
+    from tillroll.operators.kpi import zone_bounds
+    from tillroll.sources.question_log import question_log
+    path = io.scratch_path(spark, "copilot_trace")
+    tags = tag_questions(question_log(spark, sf), zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE")))
+    io.append_trace(tags.select("question_id", "intent").withColumn("run", F.lit(1)), path)
+    io.append_trace(tags.select("question_id", "intent").withColumn("run", F.lit(2)), path)
+    back = spark.read.schema("question_id string, intent string, run int, ts string").json(path)
+    return back.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("ts").alias("stamped"))
+
+
+@register("S12_alert_history_last5")
+def s12(spark, sf):
+    an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
+    path = io.scratch_path(spark, "notification_history")
+
+    def rows(d, stamp):
+        return d.select(
+            stamp.alias("timestamp"), "anomaly_count", "outlets_flagged",
+            F.concat_ws(": ", F.col("severity_label"), F.col("outlets_flagged")).alias("root_cause"),
+            F.lit("LOGGED").alias("email_status"), F.lit("").alias("recipient"),
+        )
+
+    # history of one digest per data year (first append), then the all-time digest
+    per_year = anomaly.alert_digest(an.withColumn("year", F.substring("date", 1, 4)), by=["year"])
+    io.log_notification(rows(per_year, F.col("year")), path, batch=0)
+    io.log_notification(rows(anomaly.alert_digest(an), F.lit("all")), path, batch=1)
+    return io.notification_history(spark, path, 5).drop("logged_at", "seq")
+
+
+@register("S13_catalog_report")
+def s13(spark, sf):
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        from tillroll.sources.tables import read_table
+        read_table(spark, sf, name).createOrReplaceTempView(f"tr_{name}")
+    return io.catalog_report(spark).filter(F.col("table").startswith("tr_"))

@@ -35,15 +35,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared lineage-cut folder: the cluster's ``spark.checkpoint.dir`` when set.
+    """Shared lineage-cut / scratch folder: the cluster's ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a fresh scratch folder is created and registered.
+    Only when neither the setting nor a context checkpoint folder exists (local tests) a
+    scratch folder is created once and registered with the context.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
-        spark.sparkContext.setCheckpointDir(conf)
         return conf
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
-    return path
+    return spark.sparkContext.getCheckpointDir() or path
