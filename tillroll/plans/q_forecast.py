@@ -1 +1,137 @@
-"""Registered queries."""
+"""Registered forecasting queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillroll.functions.exprs import day_str, rnd
+from tillroll.operators import forecast as fc
+from tillroll.operators.audit import scenario_tags
+from tillroll.operators.kpi import zone_bounds
+from tillroll.plans.q_context import _CTX
+from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.sources import context_feed as cf
+from tillroll.sources import io
+from tillroll.sources.question_log import scenario_log
+
+PARAMS = fc.ForestParams()  # 200 trees, depth 12, min leaf 3, seed 42
+_CACHE: dict = {}
+
+
+def _inputs(spark, sf):
+    s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")
+    train = fc.training_set(s, cf.context_feed(spark, sf))
+    dates = cf.sales_dates(spark, sf)
+    holidays = cf.holiday_table(dates).select("date")
+    zone_index = fc.zone_encoder(train)
+    return train, holidays, zone_index
+
+
+def _trained(spark, sf, params=PARAMS):
+    """Fit once per (data, params) and keep the fitted pipeline for the other M queries."""
+    key = (spark.sparkContext.applicationId, sf, params)
+    if key not in _CACHE:
+        train, holidays, zone_index = _inputs(spark, sf)
+        feats = fc.with_features(fc.augment(train), holidays, zone_index).cache()
+        model = fc.fit(feats, params)
+        _CACHE[key] = (model, feats, holidays, zone_index)
+    return _CACHE[key]
+
+
+_TRAIN_SQL = """
+tr AS (SELECT z.ZONE AS zone, z.d AS date, CAST(z.rev AS DOUBLE) AS net_revenue,
+              COALESCE(w.temp_max_c, 27.0) AS temp_max_c, COALESCE(w.precipitation_mm, 0.5) AS precipitation_mm
+       FROM (SELECT ZONE, INVOICE_DATE AS d, SUM(NET_AMT) AS rev FROM sales WHERE ZONE IS NOT NULL GROUP BY 1, 2 HAVING SUM(NET_AMT) > 0) z
+       LEFT JOIN (SELECT CAST(date AS DATE) AS d, temp_max_c, precipitation_mm FROM ctx WHERE temp_max_c IS NOT NULL) w ON w.d = z.d)"""
+
+
+@register("M1_training_set", with_sales(_CTX + "," + _TRAIN_SQL + """
+SELECT zone, CAST(date AS VARCHAR) AS date, CAST(ROUND(CAST(net_revenue AS DECIMAL(38,6)), 2) AS DOUBLE) AS net_revenue,
+       temp_max_c, precipitation_mm FROM tr"""))
+def m1(spark, sf):
+    train, _, _ = _inputs(spark, sf)
+    return train.select("zone", day_str("date").alias("date"), rnd(F.col("net_revenue"), 2).alias("net_revenue"),
+                        "temp_max_c", "precipitation_mm")
+
+
+_HOL = " UNION ".join(
+    f"SELECT make_date(y, {m}, {d}) AS hd FROM (SELECT DISTINCT year(date) AS y FROM ctx_dates)"
+    for m, d, _ in cf.NATIONAL_HOLIDAYS + cf.STATE_HOLIDAYS)
+
+
+@register("M2_M3_feature_rows", with_sales(_CTX + "," + _TRAIN_SQL + f""",
+hol AS ({_HOL}),
+zi AS (SELECT zone, CAST(ROW_NUMBER() OVER (ORDER BY zone) - 1 AS DOUBLE) AS outlet_id FROM (SELECT DISTINCT zone FROM tr))
+SELECT tr.zone, CAST(tr.date AS VARCHAR) AS date, zi.outlet_id,
+       CAST(isodow(tr.date) = 1 AS DOUBLE) AS day_mon, CAST(isodow(tr.date) = 2 AS DOUBLE) AS day_tue,
+       CAST(isodow(tr.date) = 3 AS DOUBLE) AS day_wed, CAST(isodow(tr.date) = 4 AS DOUBLE) AS day_thu,
+       CAST(isodow(tr.date) = 5 AS DOUBLE) AS day_fri, CAST(isodow(tr.date) = 6 AS DOUBLE) AS day_sat,
+       CAST(isodow(tr.date) = 7 AS DOUBLE) AS day_sun, CAST(isodow(tr.date) >= 6 AS DOUBLE) AS is_weekend,
+       CAST(tr.date IN (SELECT hd FROM hol) AS DOUBLE) AS is_holiday,
+       tr.temp_max_c AS avg_temp_c, tr.precipitation_mm
+FROM tr JOIN zi ON zi.zone = tr.zone"""))
+def m2(spark, sf):
+    train, holidays, zone_index = _inputs(spark, sf)
+    f = fc.with_features(train, holidays, zone_index)
+    return f.select("zone", day_str("date").alias("date"), *[c for c in fc.FEATURE_ORDER])
+
+
+@register("M4_augmented_rows")
+def m4(spark, sf):
+    train, _, _ = _inputs(spark, sf)
+    aug = fc.augment(train)
+    return aug.groupBy("zone").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copy") == 0).alias("originals"),
+        F.min("precipitation_mm").alias("min_rain"), F.round(F.avg("net_revenue"), 2).alias("avg_revenue"),
+    )
+
+
+@register("M5_M7_feature_importance")
+def m5(spark, sf):
+    model = _trained(spark, sf)[0]
+    return fc.feature_importance(model, spark)
+
+
+@register("M6_cross_validation")
+def m6(spark, sf):
+    _, feats, _, _ = _trained(spark, sf)
+    return fc.cross_validate(feats, PARAMS)
+
+
+@register("M8_persist_reload")
+def m8(spark, sf):
+    model, feats, _, _ = _trained(spark, sf)
+    path = io.scratch_path(spark, "revenue_forecaster")
+    fc.save_model(model, path)
+    again = fc.load_model(path)
+    a = model.transform(feats).select("zone", "date", "copy", F.col("prediction").alias("p1"))
+    b = again.transform(feats).select("zone", "date", "copy", F.col("prediction").alias("p2"))
+    return a.join(b, ["zone", "date", "copy"]).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+
+
+def _scenario_predictions(spark, sf):
+    model, _, holidays, zone_index = _trained(spark, sf)
+    zones = zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE"))
+    tags = scenario_tags(scenario_log(spark, sf), zones)
+    # Free-text zone → known zone (fuzzy containment), unknown stays as given
+    sc = tags.join(zones.select("zones"), how="inner").select(
+        "scenario_id", fc.match_zone(F.col("zone"), F.col("zones")).alias("zone"), "date", "rain_mm", "temp_c")
+    return fc.predict_scenarios(model, sc, holidays, zone_index)
+
+
+@register("M9_M10_M11_scenario_predictions")
+def m9(spark, sf):
+    return _scenario_predictions(spark, sf)
+
+
+@register("M12_scenario_grid")
+def m12(spark, sf):
+    model, _, holidays, zone_index = _trained(spark, sf)
+    zd = fc.training_set(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"), cf.context_feed(spark, sf)).select("zone", "date")
+    return fc.predict_scenarios(model, fc.scenario_grid(zd), holidays, zone_index)
+
+
+@register("M13_hourly_trend")
+def m13(spark, sf):
+    return fc.hourly_trend(_scenario_predictions(spark, sf))

@@ -1 +1,49 @@
-"""Registered queries."""
+"""Registered composite reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillroll.operators import anomaly, basket, reports
+from tillroll.plans.q_kpi import D0, D1, ZONES, _WIN
+from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.sources import context_feed as cf
+from tillroll.sources import io
+
+
+@register("R1_kpi_tab_bundle", with_sales(f"""
+WITH f AS (SELECT * FROM sales WHERE {_WIN}),
+top AS (SELECT PRODUCT FROM f WHERE PRODUCT IS NOT NULL GROUP BY PRODUCT ORDER BY ROUND(SUM(NET_AMT), 2) DESC, PRODUCT LIMIT 1),
+zone AS (SELECT ZONE FROM f GROUP BY ZONE ORDER BY ROUND(SUM(NET_AMT), 2) DESC LIMIT 1)
+SELECT CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS total_revenue, COUNT(DISTINCT INVOICE_NO) AS total_orders,
+       (SELECT PRODUCT FROM top) AS top_product, (SELECT ZONE FROM zone) AS top_zone,
+       COUNT(DISTINCT INVOICE_DATE) AS days, COUNT(*) AS raw_lines
+FROM f"""))
+def r1(spark, sf):
+    s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "INVOICE_NO", "NET_AMT", "QTY_PACKS", "TOTAL_VOLUME_BILLED_LTR",
+                 "PRODUCT", "CHANNEL", "PRODUCT_CLASS")
+    tab = reports.kpi_tab(s, list(ZONES), D0, D1)
+    head = tab.kpi.select("total_revenue", "total_orders")
+    top = tab.top5.limit(1).select(F.col("item_name").alias("top_product"))
+    zone = tab.by_zone.limit(1).select(F.col("outlet_name").alias("top_zone"))
+    days = tab.daily.agg(F.count(F.lit(1)).alias("days"))
+    raw = tab.raw.agg(F.count(F.lit(1)).alias("raw_lines"))
+    return head.join(top, how="inner").join(zone, how="inner").join(days, how="inner").join(raw, how="inner")
+
+
+@register("R2_proactive_brief")
+def r2(spark, sf):
+    from tillroll.plans.q_basket import _combos
+    combos = _combos(spark, sf)[0]
+    return reports.proactive_brief(sales_of(spark, sf, "INVOICE_DATE", "NET_AMT"), combos, cf.context_feed(spark, sf))
+
+
+@register("R3_morning_brief")
+def r3(spark, sf):
+    an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
+    digest = reports.morning_brief(an, cf.context_feed(spark, sf))
+    path = io.scratch_path(spark, "morning_brief_history")
+    io.log_notification(digest.select(
+        F.lit("morning").alias("timestamp"), "anomaly_count", "outlets_flagged",
+        F.col("root_causes").alias("root_cause"), F.lit("LOGGED").alias("email_status"), F.lit("").alias("recipient")), path, 0)
+    return io.notification_history(spark, path, 5).drop("logged_at", "seq")
