@@ -36,6 +36,16 @@ def monday_index(d: Column | str) -> Column:
     return F.weekday(col)
 
 
+# ASCII whitespace removed by Python's str.strip() (space, \t, \n, \r, \v, \f).
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
+def strip(c: Column | str) -> Column:
+    """Python-style strip of surrounding ASCII whitespace (character-set trim, no regex)."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.trim(col, F.lit(WHITESPACE))
+
+
 def non_empty(c: Column | str) -> Column:
     """F6 — not null and not the empty string."""
     col = F.col(c) if isinstance(c, str) else c

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import day_str
+from tillroll.functions.exprs import day_str, strip
 
 # ── Fixed values: patterns that must equal the reference's behaviour ──────────
 ISO_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
@@ -147,7 +147,7 @@ def money_numbers(text: Column) -> Column:
     g1 = F.regexp_extract_all(text, F.lit(MONEY), 1)
     g2 = F.regexp_extract_all(text, F.lit(MONEY), 2)
     raw = F.arrays_zip(g1.alias("a"), g2.alias("b"))
-    nums = F.transform(raw, lambda r: F.regexp_replace(F.when(r["a"] != "", r["a"]).otherwise(r["b"]), ",", ""))
+    nums = F.transform(raw, lambda r: F.replace(F.when(r["a"] != "", r["a"]).otherwise(r["b"]), F.lit(","), F.lit("")))
     return F.filter(F.transform(nums, lambda s: F.when(s != "", s.try_cast("double"))), lambda x: x.isNotNull())
 
 
@@ -194,7 +194,7 @@ def table_digest(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _strip(c: Column) -> Column:
     """Python ``str.strip()`` for ASCII whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return strip(c)
 
 
 def _cells(line: Column) -> Column:
@@ -206,7 +206,7 @@ def _cells(line: Column) -> Column:
 
 
 def _num(c: Column) -> Column:
-    t = F.regexp_replace(_strip(c), ",", "")
+    t = F.replace(_strip(c), F.lit(","), F.lit(""))
     return F.when((t != "") & (t != "-"), t.try_cast("double"))
 
 
@@ -214,41 +214,38 @@ def _named(**kv: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in kv.items()])
 
 
-def _state(st: Column, **over: Column) -> Column:
-    fields = ["intab", "skip", "ncols", "hdr", "nrows", "num", "sums", "bhdr", "brows", "bnum", "bsums"]
-    return _named(**{f: over.get(f, st[f]) for f in fields})
-
-
 def _step(st: Column, x: Column) -> Column:
+    """One line of the table scan, written field by field (flat CASE chains keep the
+    expression small)."""
     i, row = x["i"], x["c"]
+    intab = st["intab"]
+    skip_now = intab & (i == st["skip"])
     is_row = ~x["b"] & row.isNotNull() & (F.size(row) == st["ncols"])
-    add = _state(
-        st, nrows=st["nrows"] + 1,
-        num=F.zip_with(st["num"], row, lambda f, c: f & _num(c).isNotNull()),
-        sums=F.zip_with(st["sums"], row, lambda s, c: s + F.coalesce(_num(c), F.lit(0.0))),
-    )
-    better = st["intab"] & (st["nrows"] > 0) & (st["nrows"] > st["brows"])
-    closed = _state(
-        st, intab=F.lit(False),
-        bhdr=F.when(better, st["hdr"]).otherwise(st["bhdr"]),
-        brows=F.when(better, st["nrows"]).otherwise(st["brows"]),
-        bnum=F.when(better, st["num"]).otherwise(st["bnum"]),
-        bsums=F.when(better, st["sums"]).otherwise(st["bsums"]),
-    )
-
-    def start(s2: Column) -> Column:
-        can = row.isNotNull() & x["sn"]
-        opened = _state(
-            s2, intab=F.lit(True), skip=i + 1, ncols=F.size(row), hdr=row, nrows=F.lit(0),
-            num=F.transform(row, lambda _: F.lit(True)), sums=F.transform(row, lambda _: F.lit(0.0)),
-        )
-        return F.when(can, opened).otherwise(s2)
-
-    return (
-        F.when(st["intab"] & (i == st["skip"]), st)
-        .when(st["intab"] & is_row, add)
-        .when(st["intab"], start(closed))
-        .otherwise(start(st))
+    add_now = intab & ~skip_now & is_row
+    close_now = intab & ~skip_now & ~is_row
+    open_now = (close_now | ~intab) & row.isNotNull() & x["sn"]
+    keep_best = close_now & (st["nrows"] > 0) & (st["nrows"] > st["brows"])
+
+    def pick(opened: Column, added: Column | None, field: str) -> Column:
+        e = F.when(open_now, opened)
+        if added is not None:
+            e = e.when(add_now, added)
+        return e.otherwise(st[field])
+
+    return _named(
+        intab=skip_now | add_now | open_now,
+        skip=pick(i + 1, None, "skip"),
+        ncols=pick(F.size(row), None, "ncols"),
+        hdr=pick(row, None, "hdr"),
+        nrows=pick(F.lit(0), st["nrows"] + 1, "nrows"),
+        num=pick(F.transform(row, lambda _: F.lit(True)),
+                 F.zip_with(st["num"], row, lambda f, c: f & _num(c).isNotNull()), "num"),
+        sums=pick(F.transform(row, lambda _: F.lit(0.0)),
+                  F.zip_with(st["sums"], row, lambda s, c: s + F.coalesce(_num(c), F.lit(0.0))), "sums"),
+        bhdr=F.when(keep_best, st["hdr"]).otherwise(st["bhdr"]),
+        brows=F.when(keep_best, st["nrows"]).otherwise(st["brows"]),
+        bnum=F.when(keep_best, st["num"]).otherwise(st["bnum"]),
+        bsums=F.when(keep_best, st["sums"]).otherwise(st["bsums"]),
     )
 
 
