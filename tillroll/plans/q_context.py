@@ -244,3 +244,11 @@ FROM anoms a LEFT JOIN look l ON l.date = a.date LEFT JOIN news n ON n.date = a.
 def n7(spark, sf):
     an = detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
     return cx.enrich_anomalies(an, _feed(spark, sf))
+
+
+@register("F10_usable_disruptors", _ctx_sql("""
+SELECT COUNT(*) AS rows FROM ctx WHERE news_disruptors IS NOT NULL AND NOT starts_with(news_disruptors, 'No headlines')"""))
+def f10(spark, sf):
+    c = _feed(spark, sf)
+    return c.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").startswith("No headlines")).agg(
+        F.count(F.lit(1)).alias("rows"))

@@ -346,3 +346,48 @@ WITH t AS (SELECT PRODUCT AS item_name, {_REV} AS revenue, CAST(SUM(QTY_PACKS) A
 SELECT item_name, revenue, qty, ROUND(revenue / MAX(revenue) OVER () * 100, 1) AS pct_of_leader FROM t"""))
 def w5(spark, sf):
     return kpi.share_of_leader(kpi.top_products(sales_of(spark, sf, "PRODUCT", "NET_AMT", "QTY_PACKS"), 10))
+
+
+_LINES_REV = f"COUNT(*) AS lines, {_REV} AS revenue"
+
+
+def _lines_rev(df, *keys):
+    g = df.groupBy(*keys) if keys else df
+    return g.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(money(F.sum("NET_AMT")), F.lit(0.0)).alias("revenue"))
+
+
+@register("F1_zone_membership", with_sales(f"SELECT ZONE, {_LINES_REV} FROM sales WHERE ZONE IN {_ZIN} GROUP BY ZONE"))
+def f1(spark, sf):
+    return _lines_rev(kpi.filter_zones(sales_of(spark, sf, "ZONE", "NET_AMT"), list(ZONES)), "ZONE")
+
+
+@register("F2_inclusive_date_range", with_sales(f"SELECT {_LINES_REV} FROM sales WHERE INVOICE_DATE BETWEEN DATE '{D0}' AND DATE '{D1}'"))
+def f2(spark, sf):
+    return _lines_rev(kpi.filter_dates(sales_of(spark, sf, "INVOICE_DATE", "NET_AMT"), D0, D1))
+
+
+@register("F3_date_in_list", with_sales(f"SELECT CAST(INVOICE_DATE AS VARCHAR) AS day, {_LINES_REV} FROM sales WHERE INVOICE_DATE IN (DATE '{DAY}', DATE '{DAY2}') GROUP BY INVOICE_DATE"))
+def f3(spark, sf):
+    f = kpi.filter_days(sales_of(spark, sf, "INVOICE_DATE", "NET_AMT"), [DAY, DAY2])
+    return _lines_rev(f.withColumn("day", day_str("INVOICE_DATE")), "day")
+
+
+@register("F6_non_empty_product", with_sales(f"SELECT {_LINES_REV} FROM sales WHERE PRODUCT IS NOT NULL AND PRODUCT <> ''"))
+def f6(spark, sf):
+    from tillroll.functions.exprs import non_empty
+    return _lines_rev(sales_of(spark, sf, "PRODUCT", "NET_AMT").filter(non_empty("PRODUCT")))
+
+
+@register("F7_contains_two_columns", with_sales(f"SELECT PRODUCT_CLASS, {_LINES_REV} FROM sales WHERE PRODUCT_CLASS ILIKE '%promo%' OR PRODUCT ILIKE '%promo%' GROUP BY PRODUCT_CLASS"))
+def f7(spark, sf):
+    from tillroll.functions.exprs import contains_ci
+    s = sales_of(spark, sf, "PRODUCT_CLASS", "PRODUCT", "NET_AMT")
+    return _lines_rev(s.filter(contains_ci(["PRODUCT_CLASS", "PRODUCT"], "PROMO")), "PRODUCT_CLASS")
+
+
+@register("F11_having_positive", with_sales("""
+SELECT ZONE, CAST(INVOICE_DATE AS VARCHAR) AS date, CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS revenue
+FROM sales GROUP BY ZONE, INVOICE_DATE HAVING SUM(NET_AMT) > 0"""))
+def f11(spark, sf):
+    g = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT").groupBy("ZONE", "INVOICE_DATE").agg(F.sum("NET_AMT").alias("s"))
+    return g.filter(F.col("s") > 0).select("ZONE", day_str("INVOICE_DATE").alias("date"), money("s").alias("revenue"))
