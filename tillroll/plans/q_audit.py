@@ -20,7 +20,10 @@ ranks_all AS (SELECT strftime(d, '%Y-%m-%d') AS d, CAST(rev AS DOUBLE) AS rev, R
                      COUNT(*) OVER () AS total_days FROM daily),
 ranks_month AS (SELECT strftime(d, '%Y-%m-%d') AS d, CAST(rev AS DOUBLE) AS rev,
                        RANK() OVER (PARTITION BY strftime(d, '%Y-%m') ORDER BY rev DESC) AS rank_desc,
-                       COUNT(*) OVER (PARTITION BY strftime(d, '%Y-%m')) AS total_days FROM daily)"""
+                       COUNT(*) OVER (PARTITION BY strftime(d, '%Y-%m')) AS total_days FROM daily),
+ranks_last90 AS (SELECT strftime(a.d, '%Y-%m-%d') AS d, CAST(a.rev AS DOUBLE) AS rev,
+                        1 + (SELECT COUNT(*) FROM daily b WHERE b.d >= a.d - INTERVAL 90 DAY AND b.rev > a.rev) AS rank_desc,
+                        (SELECT COUNT(*) FROM daily b WHERE b.d >= a.d - INTERVAL 90 DAY) AS total_days FROM daily a)"""
 
 
 def _qdates(col: str) -> str:
@@ -52,6 +55,17 @@ def t1(spark, sf):
     return audit.premise_audit(ql.question_log(spark, sf), audit.daily_ranks(s, "all"), "all")
 
 
+@register("W1_daily_rank_last90", with_sales("WITH " + _RANKS + "\nSELECT * FROM ranks_last90"))
+def w1l(spark, sf):
+    return audit.daily_ranks(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"), "last90")
+
+
+@register("T1_J8_premise_audit_last90", _premise_sql("last90"))
+def t1l(spark, sf):
+    s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")
+    return audit.premise_audit(ql.question_log(spark, sf), audit.daily_ranks(s, "last90"), "last90")
+
+
 @register("T1_J8_premise_audit_month", _premise_sql("month"))
 def t1m(spark, sf):
     s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")
