@@ -161,8 +161,9 @@ def money_numbers(text: Column) -> Column:
     return F.filter(F.transform(nums, lambda s: F.when(s != "", s.try_cast("double"))), lambda x: x.isNotNull())
 
 
-_STATE_T = ("STRUCT<intab: BOOLEAN, skip: INT, ncols: INT, hdr: ARRAY<STRING>, nrows: INT, num: ARRAY<BOOLEAN>, "
-            "sums: ARRAY<DOUBLE>, bhdr: ARRAY<STRING>, brows: INT, bnum: ARRAY<BOOLEAN>, bsums: ARRAY<DOUBLE>>")
+# Fold state (scalars only): in-table flag, separator line to skip, column count, current
+# table's header line and row count, and the best (largest, first on ties) finished table.
+_STATE_T = "STRUCT<intab: BOOLEAN, skip: INT, ncols: INT, start: INT, nrows: INT, bstart: INT, brows: INT>"
 
 
 def table_digest(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -171,35 +172,60 @@ def table_digest(texts: DataFrame, text_col: str = "text") -> DataFrame:
     Error texts ('ERROR:' / 'SQL ERROR' lead) and 'Query returned 0 rows' texts → null.
 
     Output columns: ``row_count`` and ``column_sums`` (array of (col, sum) in column order).
-    The fold walks an array of per-line structs (index, cells, blank flag, next line is a
-    separator) that is computed once per text, so the scan is linear in the text length.
+
+    A fold over the text's lines finds the table boundaries with scalar state only; the
+    chosen table's cells are then parsed and summed once (in row order), so the per-line
+    work is a handful of integer comparisons.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    cells = F.transform(lines, lambda l: _cells(l))
-    blank = F.transform(lines, lambda l: _strip(l) == "")
-    sep = F.transform(cells, lambda c: c.isNotNull() & (F.size(c) > 0) & F.forall(c, lambda x: x.rlike("^:?-{3,}:?$")))
-    sep_next = F.concat(F.slice(sep, 2, F.size(sep) - 1), F.array(F.lit(False)))
-    per_line = F.arrays_zip(
-        F.sequence(F.lit(1), F.size(lines)).alias("i"), cells.alias("c"), blank.alias("b"), sep_next.alias("sn"))
     head = F.upper(F.substring(F.ltrim(F.col(text_col)), 1, 200))
     bad = (
         F.col(text_col).isNull() | (_strip(F.col(text_col)) == "")
         | head.startswith("ERROR:") | head.startswith("SQL ERROR")
         | F.upper(F.col(text_col)).contains("QUERY RETURNED 0 ROWS")
     )
-    # error texts fold over no lines and so report no table
-    empty = F.expr("CAST(array() AS ARRAY<STRUCT<i: INT, c: ARRAY<STRING>, b: BOOLEAN, sn: BOOLEAN>>)")
-    per_line = F.when(~bad, per_line).otherwise(empty)
-    state = F.aggregate(
+    lines = F.split(F.col(text_col), "\n", -1)
+    # Higher-order functions are evaluated without common-subexpression elimination, so
+    # each intermediate array is materialised once through a one-row generator.
+    staged = texts.select("*", F.inline(F.array(F.struct(
+        F.when(~bad, F.transform(lines, lambda l: _cells(l))).otherwise(F.array().cast("array<array<string>>")).alias("_c"),
+        F.when(~bad, F.transform(lines, lambda l: _strip(l) == "")).otherwise(F.array().cast("array<boolean>")).alias("_b"),
+    ))))
+    c = F.col("_c")
+    sep = F.transform(c, lambda x: x.isNotNull() & F.forall(x, lambda y: y.rlike("^:?-{3,}:?$")))
+    per_line = F.arrays_zip(
+        F.sequence(F.lit(1), F.size(c)).alias("i"),
+        F.transform(c, lambda x: F.coalesce(F.size(x), F.lit(-1))).alias("nc"),
+        F.col("_b").alias("b"),
+        F.concat(F.slice(sep, 2, F.greatest(F.size(sep) - 1, F.lit(0))), F.array(F.lit(False))).alias("sn"),
+    )
+    found = F.aggregate(
         per_line,
-        F.expr(f"CAST(named_struct('intab', false, 'skip', 0, 'ncols', 0, 'hdr', array(), 'nrows', 0, 'num', array(), "
-               f"'sums', array(), 'bhdr', array(), 'brows', 0, 'bnum', array(), 'bsums', array()) AS {_STATE_T})"),
+        F.expr(f"CAST(named_struct('intab', false, 'skip', 0, 'ncols', 0, 'start', 0, 'nrows', 0, 'bstart', 0, 'brows', 0) AS {_STATE_T})"),
         _step,
         _finish,
     )
-    # inline(array(...)) evaluates the fold once per text (a generator is not inlined
-    # into its consumers the way a projected struct would be)
-    return texts.select("*", F.inline(F.array(state)))
+    located = staged.select("*", F.inline(F.array(F.struct(found.alias("_t")))))
+    start, nrows = F.col("_t.start"), F.col("_t.rows")
+    tbl = located.select(
+        *texts.columns, nrows.alias("_n"),
+        F.try_element_at(c, F.greatest(start, F.lit(1))).alias("_h"),
+        F.transform(F.slice(c, start + 2, F.greatest(nrows, F.lit(0))), lambda r: F.transform(r, lambda x: _num(x))).alias("_v"),
+    ).select("*", F.inline(F.array(F.struct(F.col("_h").alias("hdr"), F.col("_v").alias("nums")))))
+    hdr, nums = F.col("hdr"), F.col("nums")
+    col_sums = F.filter(
+        F.transform(F.sequence(F.lit(0), F.size(hdr) - 1), lambda j: F.struct(
+            F.when(_strip(hdr[j]) == "", F.concat(F.lit("col_"), j.cast("string"))).otherwise(_strip(hdr[j])).alias("col"),
+            F.forall(nums, lambda r: r[j].isNotNull()).alias("num"),
+            F.round(F.aggregate(nums, F.lit(0.0), lambda acc, r: acc + F.coalesce(r[j], F.lit(0.0))), 6).alias("sum"),
+        )),
+        lambda x: x["num"],
+    )
+    ok = F.col("_n") > 0
+    return tbl.select(
+        *texts.columns,
+        F.when(ok, F.col("_n")).alias("row_count"),
+        F.when(ok, F.transform(col_sums, lambda x: F.struct(x["col"].alias("col"), x["sum"].alias("sum")))).alias("column_sums"),
+    )
 
 
 def _strip(c: Column) -> Column:
@@ -208,11 +234,12 @@ def _strip(c: Column) -> Column:
 
 
 def _cells(line: Column) -> Column:
+    """Cells of a pipe-table row: the stripped line without one leading and one trailing
+    ``|``, split on ``|``, each cell stripped; null unless the line has a ``|`` and ≥ 2 cells
+    (same as dropping an empty first / last part after splitting)."""
     s = _strip(line)
-    p0 = F.transform(F.split(s, r"[|]", -1), lambda x: _strip(x))
-    p1 = F.when((F.size(p0) > 0) & (p0[0] == ""), F.slice(p0, 2, F.size(p0) - 1)).otherwise(p0)
-    p2 = F.when((F.size(p1) > 0) & (F.element_at(p1, -1) == ""), F.slice(p1, 1, F.size(p1) - 1)).otherwise(p1)
-    return F.when(s.contains("|") & (F.size(p2) >= 2), p2)
+    cells = F.transform(F.split(F.regexp_replace(s, r"^[|]|[|]$", ""), "[|]", -1), lambda x: _strip(x))
+    return F.when(s.contains("|") & (F.size(cells) >= 2), cells)
 
 
 def _num(c: Column) -> Column:
@@ -225,50 +252,32 @@ def _named(**kv: Column) -> Column:
 
 
 def _step(st: Column, x: Column) -> Column:
-    """One line of the table scan, written field by field (flat CASE chains keep the
-    expression small)."""
-    i, row = x["i"], x["c"]
+    """One line of the table scan: open / extend / close a table (scalar state)."""
+    i, nc = x["i"], x["nc"]
     intab = st["intab"]
     skip_now = intab & (i == st["skip"])
-    is_row = ~x["b"] & row.isNotNull() & (F.size(row) == st["ncols"])
+    is_row = ~x["b"] & (nc == st["ncols"])
     add_now = intab & ~skip_now & is_row
     close_now = intab & ~skip_now & ~is_row
-    open_now = (close_now | ~intab) & row.isNotNull() & x["sn"]
+    open_now = (close_now | ~intab) & (nc >= 2) & x["sn"]
     keep_best = close_now & (st["nrows"] > 0) & (st["nrows"] > st["brows"])
-
-    def pick(opened: Column, added: Column | None, field: str) -> Column:
-        e = F.when(open_now, opened)
-        if added is not None:
-            e = e.when(add_now, added)
-        return e.otherwise(st[field])
-
     return _named(
         intab=skip_now | add_now | open_now,
-        skip=pick(i + 1, None, "skip"),
-        ncols=pick(F.size(row), None, "ncols"),
-        hdr=pick(row, None, "hdr"),
-        nrows=pick(F.lit(0), st["nrows"] + 1, "nrows"),
-        num=pick(F.transform(row, lambda _: F.lit(True)),
-                 F.zip_with(st["num"], row, lambda f, c: f & _num(c).isNotNull()), "num"),
-        sums=pick(F.transform(row, lambda _: F.lit(0.0)),
-                  F.zip_with(st["sums"], row, lambda s, c: s + F.coalesce(_num(c), F.lit(0.0))), "sums"),
-        bhdr=F.when(keep_best, st["hdr"]).otherwise(st["bhdr"]),
+        skip=F.when(open_now, i + 1).otherwise(st["skip"]),
+        ncols=F.when(open_now, nc).otherwise(st["ncols"]),
+        start=F.when(open_now, i).otherwise(st["start"]),
+        nrows=F.when(open_now, F.lit(0)).when(add_now, st["nrows"] + 1).otherwise(st["nrows"]),
+        bstart=F.when(keep_best, st["start"]).otherwise(st["bstart"]),
         brows=F.when(keep_best, st["nrows"]).otherwise(st["brows"]),
-        bnum=F.when(keep_best, st["num"]).otherwise(st["bnum"]),
-        bsums=F.when(keep_best, st["sums"]).otherwise(st["bsums"]),
     )
 
 
 def _finish(r: Column) -> Column:
     better = r["intab"] & (r["nrows"] > 0) & (r["nrows"] > r["brows"])
-    hdr = F.when(better, r["hdr"]).otherwise(r["bhdr"])
-    rows = F.when(better, r["nrows"]).otherwise(r["brows"])
-    num = F.when(better, r["num"]).otherwise(r["bnum"])
-    sums = F.when(better, r["sums"]).otherwise(r["bsums"])
-    keys = F.transform(hdr, lambda h, j: F.when(_strip(h) == "", F.concat(F.lit("col_"), j.cast("string"))).otherwise(_strip(h)))
-    pairs = F.arrays_zip(keys.alias("col"), num.alias("num"), sums.alias("sum"))
-    col_sums = F.transform(F.filter(pairs, lambda p: p["num"]), lambda p: F.struct(p["col"].alias("col"), F.round(p["sum"], 6).alias("sum")))
-    return F.struct(F.when(rows > 0, rows).alias("row_count"), F.when(rows > 0, col_sums).alias("column_sums"))
+    return _named(
+        start=F.when(better, r["start"]).otherwise(r["bstart"]),
+        rows=F.when(better, r["nrows"]).otherwise(r["brows"]),
+    )
 
 
 def primary_total(digests: DataFrame, key: str = "answer_id") -> DataFrame:
