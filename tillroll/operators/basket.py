@@ -45,15 +45,24 @@ PAIR_BLOCK = 512
 
 
 # ── A26 / A25 / A27 / B1 ───────────────────────────────────────────────────────
-def bill_items(sales: DataFrame) -> DataFrame:
-    """A26 — (bill, item) pre-aggregation of revenue and quantity; empty items dropped."""
+def bill_items(sales: DataFrame, with_rate: bool = False) -> DataFrame:
+    """A26 — (bill, item) pre-aggregation of revenue and quantity; empty items dropped.
+
+    ``with_rate`` also carries the price sum / count so item prices (A25) come from the
+    same single pass over the fact."""
+    extra = [F.sum("BASIC_RATE").alias("rate_sum"), F.count("BASIC_RATE").alias("rate_n")] if with_rate else []
     return (
         sales.filter(non_empty("PRODUCT"))
         .groupBy(F.col("INVOICE_NO").alias("bill"), F.col("PRODUCT").alias("item"))
-        .agg(F.sum("NET_AMT").alias("rev"), F.sum("QTY_PACKS").alias("qty"))
+        .agg(F.sum("NET_AMT").alias("rev"), F.sum("QTY_PACKS").alias("qty"), *extra)
     )
 
 
+def prices_from_bill_items(bi: DataFrame) -> DataFrame:
+    """A25 from the (bill, item) aggregate: row-weighted mean price per item."""
+    return bi.groupBy("item").agg(fdiv(F.sum("rate_sum"), F.sum("rate_n")).alias("price"))
+
+
 def item_prices(sales: DataFrame) -> DataFrame:
     """A25 — row-weighted average price per item (unrounded double)."""
     return (
@@ -103,11 +112,13 @@ def pair_counts(bi: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
 def affinity_pairs(bi: DataFrame, min_support: int = 3, top_n: int | None = 30) -> DataFrame:
     """B2 — pairs with co ≥ min_support; support / confidences 4dp, lift 3dp; ordered by
     the *rounded* lift then co-count (then names), top ``top_n``."""
-    bi = bi.select("bill", "item")
-    total = bi.select("bill").distinct().agg(F.count(F.lit(1)).alias("t"))
-    sup = item_support(bi)
+    # one distinct (bill, item) frame feeds the bill count, the supports and the pairs, so
+    # the planner reuses its exchange and the fact is read once
+    d = bi.select("bill", "item").distinct()
+    total = d.agg(F.count_distinct("bill").alias("t"))
+    sup = d.groupBy("item").agg(F.count(F.lit(1)).alias("bills"))
     frequent = sup.filter(F.col("bills") >= min_support).select("item")
-    co = pair_counts(bi.join(frequent, "item", "left_semi")).filter(F.col("co") >= min_support)
+    co = pair_counts(d.join(frequent, "item", "left_semi")).filter(F.col("co") >= min_support)
     sa = sup.select(F.col("item").alias("a"), F.col("bills").alias("ca"))
     sb = sup.select(F.col("item").alias("b"), F.col("bills").alias("cb"))
     m = co.join(sa, "a").join(sb, "b").join(total, how="inner")
@@ -143,9 +154,10 @@ def _quadrant(high_pop: Column, high_val: Column) -> tuple[Column, Column, Colum
 def menu_matrix(sales: DataFrame, min_qty: float = 2) -> DataFrame:
     """B3 — items with qty ≥ min_qty; thresholds are the upper medians of qty and of the
     2-dp average price; ``>=`` is high; sorted by revenue descending."""
-    bi = bill_items(sales)
-    per_item = bi.groupBy("item").agg(F.sum("rev").alias("rev"), F.sum("qty").alias("qty"))
-    items = per_item.join(item_prices(sales), "item", "left").select(
+    bi = bill_items(sales, with_rate=True)
+    per_item = bi.groupBy("item").agg(
+        F.sum("rev").alias("rev"), F.sum("qty").alias("qty"), fdiv(F.sum("rate_sum"), F.sum("rate_n")).alias("price"))
+    items = per_item.select(
         F.col("item").alias("item_name"),
         rnd(F.col("rev").cast("double"), 2).alias("total_revenue"),
         F.col("qty").cast("double").alias("total_qty"),
@@ -238,7 +250,7 @@ def live_basket(filtered_sales: DataFrame, top_n: int = 8) -> DataFrame:
         F.sum("rev").cast("double").alias("rev"), F.sum("qty").cast("double").alias("qty"),
         F.count(F.lit(1)).alias("bills"),
     )
-    total = bi.select("bill").distinct().agg(F.count(F.lit(1)).alias("t")).filter(F.col("t") >= 2)
+    total = bi.agg(F.count_distinct("bill").alias("t")).filter(F.col("t") >= 2)
     avg_unit = F.col("rev") / F.greatest(F.col("qty"), F.lit(1.0))
     ok = per_item.filter((F.col("qty") >= 2) & (avg_unit >= 10)).select("item", avg_unit.alias("avg"), "bills")
     co = pair_counts(bi.join(ok.select("item"), "item", "left_semi"))

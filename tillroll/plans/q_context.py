@@ -220,7 +220,7 @@ FROM (SELECT ZONE, INVOICE_DATE AS d, ROUND(SUM(NET_AMT), 2) AS rev FROM sales W
 LEFT JOIN (SELECT CAST(date AS DATE) AS d, temp_max_c, precipitation_mm FROM ctx WHERE temp_max_c IS NOT NULL) w ON w.d = z.d"""))
 def j1(spark, sf):
     zd = zone_day_revenue(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
-    j = cx.weather_join(zd, _feed(spark, sf))
+    j = cx.weather_join(zd, cf.weather_feed(spark, sf))
     return j.select(F.col("ZONE").alias("zone"), day_str("INVOICE_DATE").alias("date"), F.col("rev").cast("double").alias("revenue"),
                     "temp_max_c", "precipitation_mm")
 

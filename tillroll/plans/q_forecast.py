@@ -20,7 +20,7 @@ _CACHE: dict = {}
 
 def _inputs(spark, sf):
     s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")
-    train = fc.training_set(s, cf.context_feed(spark, sf))
+    train = fc.training_set(s, cf.weather_feed(spark, sf))
     dates = cf.sales_dates(spark, sf)
     holidays = cf.holiday_table(dates).select("date")
     zone_index = fc.zone_encoder(train)
@@ -128,7 +128,7 @@ def m9(spark, sf):
 @register("M12_scenario_grid")
 def m12(spark, sf):
     model, _, holidays, zone_index = _trained(spark, sf)
-    zd = fc.training_set(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"), cf.context_feed(spark, sf)).select("zone", "date")
+    zd = fc.training_set(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"), cf.weather_feed(spark, sf)).select("zone", "date")
     return fc.predict_scenarios(model, fc.scenario_grid(zd), holidays, zone_index)
 
 

@@ -122,6 +122,13 @@ def context_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_context(dates, read_table(spark, sf_dir, "documents"), first_sales_date(dates), UPDATED_V1)
 
 
+def weather_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weather columns of the context table alone (same values as ``context_feed``):
+    consumers that only join weather by date skip the holiday and headline derivation."""
+    d = F.col("date")
+    return sales_dates(spark, sf_dir).select(F.date_format(d, "yyyy-MM-dd").alias("date"), *weather_columns(d))
+
+
 def weather_refresh(feed: DataFrame) -> DataFrame:
     """A later fetch (version 2) for the dates whose weather API call had failed."""
     e = _epoch_day(F.col("date").cast("date"))

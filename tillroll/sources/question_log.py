@@ -141,7 +141,7 @@ def evidence_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scenario_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario_id, text, ref_date): a what-if prompt per context date."""
-    ctx = cf.context_feed(spark, sf_dir)
+    ctx = cf.weather_feed(spark, sf_dir)
     zones = sales(spark, sf_dir, ["ZONE"]).select("ZONE").distinct().agg(F.array_sort(F.collect_list("ZONE")).alias("zs"))
     d = F.col("date").cast("date")
     e = _epoch(d)
