@@ -137,7 +137,7 @@ def forest_pipeline(p: ForestParams) -> Pipeline:
         minInstancesPerNode=p.min_instances_per_node, featureSubsetStrategy="all", seed=p.seed,
         # training-time knobs only (same model): node ids cached between levels and a
         # larger per-pass histogram budget, so deep trees need fewer passes over the data
-        cacheNodeIds=True, maxMemoryInMB=2048, checkpointInterval=10,
+        cacheNodeIds=True, maxMemoryInMB=1024, checkpointInterval=10,
     )
     return Pipeline(stages=[asm, rf])
 
@@ -172,8 +172,9 @@ def cross_validate(features: DataFrame, p: ForestParams = ForestParams(), n_rows
         model = fit(data.filter(F.col("fold") != f), p)
         return ev.evaluate(model.transform(data.filter(F.col("fold") == f)))
 
-    # the k fits are independent Spark jobs; submitting them together keeps the cluster busy
-    with ThreadPoolExecutor(max_workers=k) as pool:
+    # the k fits are independent Spark jobs; submitting a few together keeps the cluster
+    # busy while bounding the concurrent split-statistics memory (≤ 3 × maxMemoryInMB)
+    with ThreadPoolExecutor(max_workers=min(k, 3)) as pool:
         scores = list(pool.map(score, range(k)))
     data.unpersist()
     mean = sum(scores) / k
