@@ -57,9 +57,23 @@ def filter_zones(sales: DataFrame, zones) -> DataFrame:
     return sales.join(keys, "ZONE", "left_semi")
 
 
+def _month_prune(sales: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
+    """On a month-partitioned store, add the implied ``year_month`` range so whole month
+    directories are skipped (the date predicate itself stays exact)."""
+    if "year_month" not in sales.columns:
+        return sales
+    if lo:
+        sales = sales.filter(F.col("year_month") >= F.lit(lo[:7]))
+    if hi:
+        sales = sales.filter(F.col("year_month") <= F.lit(hi[:7]))
+    return sales
+
+
 def filter_dates(sales: DataFrame, date_start: str, date_end: str) -> DataFrame:
-    """F2 — inclusive date window (pushed to the orders scan as a range)."""
-    return sales.filter(F.col("INVOICE_DATE").between(F.lit(date_start).cast("date"), F.lit(date_end).cast("date")))
+    """F2 — inclusive date window (pushed to the orders scan as a range; on a stored,
+    month-partitioned fact also pruned by partition)."""
+    return _month_prune(sales, date_start, date_end).filter(
+        F.col("INVOICE_DATE").between(F.lit(date_start).cast("date"), F.lit(date_end).cast("date")))
 
 
 def filter_days(sales: DataFrame, days) -> DataFrame:
@@ -71,7 +85,7 @@ def filter_month(sales: DataFrame, month: str) -> DataFrame:
     """F4 — ``YYYY-MM``, written as a half-open date range so scans can prune."""
     first = _dt.date.fromisoformat(month + "-01")
     nxt = (first.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
-    return sales.filter((F.col("INVOICE_DATE") >= F.lit(first)) & (F.col("INVOICE_DATE") < F.lit(nxt)))
+    return _month_prune(sales, month, month).filter((F.col("INVOICE_DATE") >= F.lit(first)) & (F.col("INVOICE_DATE") < F.lit(nxt)))
 
 
 def filter_trailing(sales: DataFrame, target: str, days: int = 90) -> DataFrame:
