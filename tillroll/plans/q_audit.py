@@ -204,3 +204,30 @@ FROM t"""))
 def t10(spark, sf):
     zones = zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE"))
     return audit.scenario_tags(ql.scenario_log(spark, sf), zones)
+
+
+@register("T6_intent_counts", with_sales("WITH " + ql.question_sql() + f""",
+b AS (SELECT list_sort(list(DISTINCT ZONE) FILTER (WHERE ZONE IS NOT NULL AND ZONE <> '')) AS zones,
+             strftime(MIN(INVOICE_DATE), '%Y-%m-%d') AS min_date, strftime(MAX(INVOICE_DATE), '%Y-%m-%d') AS max_date FROM sales),
+q0 AS (SELECT question, lower(trim(question)) AS low, {_qdates('question')} AS dates, zones, min_date, max_date FROM questions CROSS JOIN b),
+q1 AS (SELECT *, len(dates) AS n,
+              CASE WHEN len(dates) >= 2 THEN least(dates[1], dates[-1]) WHEN len(dates) = 1 THEN dates[1] ELSE min_date END AS ds,
+              CASE WHEN len(dates) >= 2 THEN greatest(dates[1], dates[-1]) WHEN len(dates) = 1 THEN dates[1] ELSE max_date END AS de,
+              list_filter(zones, lambda z: instr(lower(trim(question)), lower(z)) > 0) AS named FROM q0),
+q2 AS (SELECT CASE
+         WHEN length(trim(question)) < 8 THEN NULL
+         WHEN ds > max_date OR de > max_date THEN NULL
+         WHEN n >= 2 AND {_rx('COMPARE')} THEN 'compare_two_dates'
+         WHEN n = 1 AND {_rx('DECLINE')} THEN 'decline_on_date'
+         WHEN len(named) >= 2 AND {_rx('COMPARE')} THEN 'outlet_comparison'
+         WHEN {_rx('WORST_DAY')} THEN 'best_worst_day'
+         WHEN {_rx('BEST_DAY')} THEN 'best_worst_day'
+         WHEN {_rx('DAILY_TREND')} THEN 'daily_trend'
+         WHEN n = 1 AND {_rx('REV_WORD')} AND {_rx('HOW_MUCH')} THEN 'single_day_chain_revenue'
+         WHEN {_rx('TOP_ITEMS')} AND NOT {_rx('PER_OUTLET')} THEN 'top_items'
+         WHEN {_rx('BY_OUTLET')} AND NOT {_rx('NOT_PRODUCT')} THEN 'revenue_by_outlet'
+         WHEN {_rx('TOTAL')} AND NOT {_rx('NOT_TOTAL')} THEN 'total_revenue' END AS intent FROM q1)
+SELECT COALESCE(intent, 'none') AS intent, COUNT(*) AS questions FROM q2 GROUP BY 1"""))
+def t6_counts(spark, sf):
+    tags = t6(spark, sf)
+    return tags.groupBy(F.coalesce("intent", F.lit("none")).alias("intent")).agg(F.count(F.lit(1)).alias("questions"))

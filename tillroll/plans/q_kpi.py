@@ -391,3 +391,10 @@ FROM sales GROUP BY ZONE, INVOICE_DATE HAVING SUM(NET_AMT) > 0"""))
 def f11(spark, sf):
     g = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT").groupBy("ZONE", "INVOICE_DATE").agg(F.sum("NET_AMT").alias("s"))
     return g.filter(F.col("s") > 0).select("ZONE", day_str("INVOICE_DATE").alias("date"), money("s").alias("revenue"))
+
+
+@register("A16_rollup_stockiest", with_sales(f"""
+SELECT STOCKIEST, {_REV} AS revenue, COUNT(DISTINCT INVOICE_NO) AS orders, COUNT(*) AS lines
+FROM sales GROUP BY STOCKIEST"""))
+def a16c(spark, sf):
+    return kpi.rollup(sales_of(spark, sf, "STOCKIEST", "INVOICE_NO", "NET_AMT"), ["STOCKIEST"])
