@@ -43,3 +43,28 @@ def test_guarded_date_parse_equals_plain_ordered_attempts(spark):
 def test_strip_is_python_strip(spark, raw, expected):
     got = spark.createDataFrame([(raw,)], "s string").select(clean.strip_ws(F.col("s")).alias("s")).first()["s"]
     assert got == expected == raw.strip()
+
+
+def test_find_col_candidate_order_wins():
+    cols = ["Item Code", "Product Name", "POS Display Name"]
+    # first candidate found anywhere beats a later candidate in an earlier header
+    assert clean.find_col(cols, ["pos display name", "product name"]) == "POS Display Name"
+    assert clean.find_col(cols, ["product name", "item"]) == "Product Name"
+    assert clean.find_col(cols, ["missing"]) is None
+
+
+def test_standardise_absent_columns_and_validation(spark):
+    raw = spark.createDataFrame(
+        [(" Outlet A ", "Latte", "2026-01-01"), ("   ", "Muffin", "01/02/2026"), (None, None, None), ("B", "Tea", "bad")],
+        "` Location ` string, `Product Name` string, `Date` string")
+    spec = clean.FeedSpec(outlet=["location"], item=["product name"], revenue=["net amt"], date=["date"],
+                          qty=["qty"], extras=[("brand", ["brand"])])
+    std = clean.standardise(raw.na.drop(how="all"), spec)
+    rows = std.orderBy("item_name").collect()
+    assert [r["net_revenue"] for r in rows] == [0.0, 0.0, 0.0]          # absent revenue → 0.0
+    assert {r["quantity"] for r in rows} == {None} and {r["brand"] for r in rows} == {None}
+    assert [r["date"] for r in rows] == ["2026-01-01", "2026-01-02", None]
+    kept = clean.validate(std).select("outlet_name").collect()
+    assert sorted(r[0] for r in kept) == ["B", "Outlet A"]               # blank outlet dropped
+    counts = clean.validation_counts(std, "f").first()
+    assert (counts["rows_before"], counts["rows_after"], counts["dropped"]) == (3, 2, 1)
