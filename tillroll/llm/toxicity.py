@@ -7,9 +7,9 @@ over hit words, normalised by the logarithm of its length in words, and its scor
 ``z / (z + t)`` with the threshold ``t`` learned beside the lexicon.
 
 Learning uses a bounded sample of labelled rows outside the held-out fold: at most ``TOXIC`` toxic
-and ``CLEAN`` clean documents, whole texts.  Stems enter when the number of distinct contexts
-(word with both neighbours, so that copies count once) in toxic texts is beyond chance and
-nearly none lie in clean ones; the weight is their log odds.
+and ``CLEAN`` clean documents, whole texts.  Stems enter by the distinct contexts (word with both
+neighbours, so that copies count once) that they have in toxic and in clean texts: the log-likelihood
+ratio must be beyond chance, and the weight is the log odds.
 
 Defined results: null and empty texts score 0; null labels or ids are not learned from; a document
 labelled twice counts with its larger label; without toxic labels the seed lexicon decides alone;
@@ -29,8 +29,8 @@ from tillroll.llm.common import document_text, field, fold_of, on_workers, packe
 
 FOLDS, HELD = 5, 0
 TOXIC, CLEAN = 2000, 6000
-STEM = (3, 8)
-PRECISION = 0.97
+STEM = (3, 10)
+ODDS = 2.0
 LEXICON = 5000
 
 # General insults that hold before any label is seen, with their weight.
@@ -134,20 +134,21 @@ def _contexts(batches):
 
 
 def _choose(features: list, toxic: int, clean: int, kinds: int) -> dict[str, float]:
-    """Entries from (feature, n_toxic, n_clean): significant, precise, and as specific as their support."""
-    rate = toxic / max(1, toxic + clean)
-    need = max(4, (math.log10(max(10, kinds)) + 2) / max(0.1, -math.log10(rate)))
-    good = {f: (t, c) for f, t, c in features if t >= need and t >= PRECISION * (t + c)}
-    open_stems = {f for f in good if not f.endswith(" ")}
-    # a stem whose longer form has the same support says less than that form
-    loose = {f[:-1] for f in open_stems if f[:-1] in good and good[f][0] >= 0.98 * good[f[:-1]][0]}
+    """Entries from (feature, n_toxic, n_clean) by log-likelihood ratio: the strongest form of each
+    stem, if it is beyond chance among ``kinds`` features and at least ``ODDS`` in its log odds."""
+    rate, strong = toxic / max(1, toxic + clean), []
+    for f, t, c in features:
+        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+        ratio = 2 * (t * math.log(t / ((t + c) * rate)) + (c * math.log(c / ((t + c) * (1 - rate))) if c else 0))
+        if odds >= ODDS and ratio >= 2 * (math.log(max(kinds, 2)) + 1):
+            strong.append((-round(ratio, 6), f.endswith(" "), -len(f), f, odds))
     kept: dict[str, float] = {}
-    for f in sorted(good, key=lambda f: (len(f.rstrip()), f)):
-        if f in loose or any(f[:n] in kept for n in range(1 + STEM[0], len(f.rstrip()) + 1)):
-            continue
-        t, c = good[f]
-        kept[f] = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-    return dict(sorted(kept.items(), key=lambda e: -e[1])[:LEXICON])
+    below: set[str] = set()  # beginnings of what is kept
+    for *_, f, odds in sorted(strong):
+        if len(kept) < LEXICON and f not in below and not any(f[:n] in kept for n in range(1, len(f) + 1)):
+            kept[f] = odds
+            below.update(f[:n] for n in range(1, len(f) + 1))
+    return kept
 
 
 def _threshold(pairs: list[tuple[float, int]]) -> float:
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     size = words.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n")).first()
     if not size["t"]:
         return Lexicon(SEEDED)
-    found = (features.where((F.col("t") >= 4) & (F.col("t") >= PRECISION * (F.col("t") + F.col("c"))))
+    found = (features.where((F.col("t") >= 4) & (F.col("t") * size["c"] >= math.exp(ODDS) * F.col("c") * size["t"]))
              .orderBy(F.desc("t"), "f").limit(4 * LEXICON).collect())
     learned = _choose([tuple(r) for r in found], size["t"], size["c"] or 0, 6 * size["n"])
     lexicon = Lexicon(SEEDED | learned)
