@@ -19,6 +19,9 @@ rows that share an id are packed one by one; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -28,25 +31,59 @@ from tillroll.llm.common import document_text, field, packed, staged
 
 WINDOW, FINEST = 4096, 1024
 END = 2
-MEMO = 400_000
+MEMO = 500_000
+STOPS = string.punctuation.replace("'", "")
+PROBES = ("Word", "word.", "Élan,", "straße?!", "çà", "日本", "и", "extraordinarily...")
 _STEP = 256
+#: the letters that byte-level models write bytes with: printable bytes themselves, the rest from 256 on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {
+    b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
 class WordEncoder(dict):
     """Memo of packed ids by white-space separated word, for tokenizers that drop white space
-    and so encode words one by one; starts over when full."""
+    and so encode words one by one; starts over when full.
+
+    Where the definition allows (checked on ``PROBES``), a word of letters in normal form goes to the
+    tokenizer's model alone, apart from the stops after it, and is memoised once for both cases.
+    """
 
     def __init__(self, definition: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
+        self.model, self.letters, self.stops = self.tokenizer.model, {}, {}
+        self.direct = False
+        self.direct = all(self._by_parts(w) == self._whole(w) for w in PROBES)
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = value = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        self[word] = value = (self.direct and self._by_parts(text)) or self._whole(text)
         return value
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _by_parts(self, text: str) -> bytes | None:
+        """None where only the tokenizer as a whole can tell."""
+        core = text.rstrip(STOPS)
+        low = core.lower()
+        if not low.isalpha() or "Σ" in core or not (core.isascii() or unicodedata.is_normalized("NFC", core)):
+            return None
+        if (ids := self.letters.get(low)) is None:
+            if len(self.letters) >= MEMO:
+                self.letters.clear()
+            seen = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            self.letters[low] = ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        if len(core) == len(text):
+            return ids
+        tail = text[len(core):]
+        if tail not in self.stops and len(self.stops) < MEMO:
+            self.stops[tail] = self._whole(tail)
+        return ids + (self.stops[tail] if tail in self.stops else self._whole(tail))
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split()))
 
