@@ -10,8 +10,8 @@ knowing the others': deficits carry across windows and partitions alike, every w
 target proportions to within one token, and only the last window can be short.
 
 The target is each source's share of all tokens, the only mixture that lasts until every queue is
-empty.  Sources with less than ``1 / FINEST`` of the tokens share one queue, so at most
-``FINEST`` queues exist.  The last sequence is padded to the window unless its fill is a power of two.
+empty.  Sources that are due less than ``LEAST`` tokens of a window share one queue, so at most
+``WINDOW / LEAST`` queues exist.  The last sequence is padded to the window unless its fill is a power of two.
 
 Defined results: null text is empty and has the end id only; null and empty sources are one source;
 rows that share an id are packed one by one; an empty table gives no pieces.
@@ -29,7 +29,9 @@ from tokenizers import Tokenizer
 
 from tillroll.llm.common import document_text, field, packed, staged
 
-WINDOW, FINEST = 4096, 1024
+WINDOW = 4096
+#: least whole tokens of a window that a queue of its own must be due
+LEAST = 4
 END = 2
 MEMO = 500_000
 STOPS = string.punctuation.replace("'", "")
@@ -185,12 +187,12 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def queues_of(totals: list[tuple[str, int]], rest: int) -> tuple[list[str], list[int]]:
-    """Named queues and all sizes (the shared queue last): every queue but an only one holds at
-    least 1 / FINEST of the tokens, hence some whole tokens of every window."""
+def queues_of(totals: list[tuple[str, int]], rest: int, window: int = WINDOW) -> tuple[list[str], list[int]]:
+    """Named queues and all sizes (the shared queue last): every queue but an only one is due at
+    least ``LEAST`` tokens of each window, so that its credits never shrink by rounding."""
     named = sorted(totals, key=lambda t: (-t[1], t[0]))
     total = rest + sum(n for _, n in named)
-    while named and (named[-1][1] * FINEST < total or 0 < rest and rest * FINEST < total):
+    while named and (named[-1][1] * window < LEAST * total or 0 < rest and rest * window < LEAST * total):
         rest += named.pop()[1]
     return [s for s, _ in named], [n for _, n in named] + ([rest] if rest else [])
 
@@ -202,9 +204,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     tokens, kind = tokenised(docs, path, end), id_type(path)
     sums = staged(tokens.groupBy("pid", "source").agg(F.sum("n").alias("n")), "queue-parts")
     total = sums.agg(F.sum("n")).first()[0] or 0
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * FINEST >= total)
-    large = [(r["source"], r["n"]) for r in by_source.collect()]  # at most FINEST rows
-    named, sizes = queues_of(large, total - sum(n for _, n in large))
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * window >= LEAST * total)
+    large = [(r["source"], r["n"]) for r in by_source.collect()]  # at most window / LEAST rows
+    named, sizes = queues_of(large, total - sum(n for _, n in large), window)
     mixture = Mixture(sizes, window)
     places = spark.createDataFrame(list(enumerate(named)), "queue int, source string")
     parts = (sums.join(F.broadcast(places), "source", "left")

@@ -75,9 +75,9 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
                          F.when(revisit, F.col("winner")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archives of ``pages`` (page_id, url, html) under ``path``; the number of files
-    follows from the bytes, about ``ARCHIVE_BYTES`` each."""
+    follows from the bytes, about ``ARCHIVE_BYTES`` each.  ``date``: when the pages were fetched."""
     records = plan_records(pages, least)
     total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")).cast("long"))).first()[0] or 0
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
@@ -89,6 +89,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
         F.lit("WARC/1.1" + _EOL),
         header("WARC-Type", F.when(response, "response").otherwise("revisit")),
         header("WARC-Record-ID", name(F.col("id"))),
+        F.lit(f"WARC-Date: {date}{_EOL}"),
         maybe("WARC-Target-URI", _url(F.col("url"))),
         maybe("WARC-Refers-To", F.when(~response, name(F.col("refers_to")))),
         F.when(~response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _EOL))
@@ -119,6 +120,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
         if not colon:
             return "bad header line"
         headers[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not headers.get("warc-type") or not headers.get("warc-record-id"):
+        return "no type or id"
     if not headers.get("content-length", "").isdecimal():
         return "bad length"
     begin = top + 4
