@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -28,27 +29,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from tillroll.llm.common import document_text, packed
+from tillroll.llm.common import Memo, document_text, packed
 
 MEMO = 400_000
 _NEVER = 1 << 62
 _DOUBLE = re.compile(r" (?=\s)| \Z")
 
 
-class _Memo(dict):
-    """Bounded memo: starts over when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        self[key] = value = self.make(key)
-        return value
-
-
 class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.tokens: dict[int, bytes] = {}
@@ -63,24 +50,25 @@ class Codec:
                 self.trie.add_word(raw.decode("latin-1"), rank)
         self.longest_token = max(map(len, self.tokens.values()), default=1)
         self.find = regex.compile(pattern).findall
-        self.shorter = lru_cache(None)(self._shorter)
+        self.sizes = {t: len(raw) for t, raw in self.tokens.items()}
+        #: longest token that each token begins with, apart from itself
+        self.shorter = {t: self._match(raw.decode("latin-1")[:-1]) for t, raw in self.tokens.items()}
         self.compatible = lru_cache(MEMO)(self._compatible)
         self.touching_right = lru_cache(None)(lambda t: self._touching(t, 1))
         self.touching_left = lru_cache(None)(lambda t: self._touching(t, 0))
         self.parts = lru_cache(None)(self._parts)
-        self.piece = _Memo(self._packed_piece)
-        self.word = _Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(w))))
-        self.spaced = _Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(" " + w))))
+        self.piece = Memo(self._packed_piece, MEMO)
+        self.word = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(w))), MEMO // 8)
+        self.spaced = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(" " + w))), 2 * MEMO)
 
     def _match(self, s: str) -> int | None:
         """Longest token that ``s`` starts with."""
-        n = self.trie.longest_prefix(s)
-        while n and s[:n] not in self.ids:
+        n, ids = self.trie.longest_prefix(s), self.ids
+        while n:
+            if (token := ids.get(s[:n])) is not None:
+                return token
             n -= 1
-        return self.ids[s[:n]] if n else None
-
-    def _shorter(self, token: int) -> int | None:
-        return self._match(self.tokens[token].decode("latin-1")[:-1])
+        return None
 
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -120,25 +108,28 @@ class Codec:
         if (whole := self.ids.get(s)) is not None:
             return [whole]
         ids: list[int] = []
-        dead, at, size = bytearray(len(s) + 1), 0, self.longest_token
-        token = self._match(s[:size])
-        while at < len(s):
-            while token is not None and (dead[at + len(self.tokens[token])]
-                                         or ids and not self.compatible(ids[-1], token)):
-                token = self.shorter(token)
+        ids_of, sizes, shorter, compatible = self.ids, self.sizes, self.shorter, self.compatible
+        end, longest, at, last = len(s), self.longest_token, 0, -1
+        dead = bytearray(end + 1)
+        token = self._match(s[:longest])
+        while at < end:
+            while token is not None and (dead[at + sizes[token]] or last >= 0 and not compatible(last, token)):
+                token = shorter[token]
             if token is None:
                 dead[at] = 1
                 token = ids.pop()
-                at -= len(self.tokens[token])
-                token = self.shorter(token)
+                at -= sizes[token]
+                token = shorter[token]
             else:
                 ids.append(token)
-                at += len(self.tokens[token])
-                token = self._match(s[at:at + size])
+                at += sizes[token]
+                token = ids_of[rest] if (rest := s[at:at + longest]) in ids_of else self._match(rest)
+            last = ids[-1] if ids else -1
         return ids
 
     def _packed_piece(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
+        ids = self.encode_piece(piece.encode().decode("latin-1"))
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Packed ids.  The pattern always breaks before a lone space between other characters, so

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -65,3 +66,18 @@ def document_text(column: str = "text") -> Column:
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the decimal id modulo ``parts``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
+
+
+class Memo(dict):
+    """Bounded memo of ``make``: when full, the older half goes."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            for old in list(islice(self, self.limit // 2)):
+                del self[old]
+        self[key] = value = self.make(key)
+        return value

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm.common import document_text, field, packed, staged
+from tillroll.llm.common import Memo, document_text, field, packed, staged
 
 WINDOW = 4096
 #: least whole tokens of a window that a queue of its own must be due
@@ -43,27 +43,24 @@ _BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
 
 
-class WordEncoder(dict):
-    """Memo of packed ids by white-space separated word, for tokenizers that drop white space
-    and so encode words one by one; starts over when full.
+class WordEncoder:
+    """Packed ids of a text, word by word (split at white space), for tokenizers that drop white
+    space and so encode words one by one; words are memoised.
 
     Where the definition allows (checked on ``PROBES``), a word of letters in normal form goes to the
     tokenizer's model alone, apart from the stops after it, and is memoised once for both cases.
     """
 
     def __init__(self, definition: str):
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(definition)
-        self.model, self.letters, self.stops = self.tokenizer.model, {}, {}
-        self.direct = False
+        self.model = self.tokenizer.model
+        self.letters, self.stops = Memo(self._letters, MEMO), Memo(self._whole, 1000)
+        self.words = Memo(self._word, MEMO)
         self.direct = all(self._by_parts(w) == self._whole(w) for w in PROBES)
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
+    def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        self[word] = value = (self.direct and self._by_parts(text)) or self._whole(text)
-        return value
+        return (self.direct and self._by_parts(text)) or self._whole(text)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -74,20 +71,15 @@ class WordEncoder(dict):
         low = core.lower()
         if not low.isalpha() or "Σ" in core or not (core.isascii() or unicodedata.is_normalized("NFC", core)):
             return None
-        if (ids := self.letters.get(low)) is None:
-            if len(self.letters) >= MEMO:
-                self.letters.clear()
-            seen = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            self.letters[low] = ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
-        if len(core) == len(text):
-            return ids
-        tail = text[len(core):]
-        if tail not in self.stops and len(self.stops) < MEMO:
-            self.stops[tail] = self._whole(tail)
-        return ids + (self.stops[tail] if tail in self.stops else self._whole(tail))
+        ids = self.letters[low]
+        return ids + self.stops[text[len(core):]] if len(core) < len(text) else ids
+
+    def _letters(self, low: str) -> bytes:
+        seen = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
