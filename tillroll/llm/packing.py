@@ -33,7 +33,7 @@ WINDOW = 4096
 #: least whole tokens of a window that a queue of its own must be due
 LEAST = 4
 END = 2
-MEMO = 500_000
+WORDS, LETTERS = 150_000, 350_000
 STOPS = string.punctuation.replace("'", "")
 PROBES = ("Word", "word.", "Élan,", "straße?!", "çà", "日本", "и", "extraordinarily...")
 _STEP = 256
@@ -54,8 +54,8 @@ class WordEncoder:
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.letters, self.stops = Memo(self._letters, MEMO), Memo(self._whole, 1000)
-        self.words = Memo(self._word, MEMO)
+        self.letters, self.stops = Memo(self._letters, LETTERS), Memo(self._whole, 1000)
+        self.words = Memo(self._word, WORDS)
         self.direct = all(self._by_parts(w) == self._whole(w) for w in PROBES)
 
     def _word(self, word: bytes) -> bytes:
