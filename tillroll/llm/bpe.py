@@ -59,7 +59,7 @@ class Codec:
         self.parts = lru_cache(None)(self._parts)
         self.piece = Memo(self._packed_piece, MEMO)
         self.word = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(w))), MEMO // 8)
-        self.spaced = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(" " + w))), MEMO)
+        self.spaced = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(" " + w))), 3 * MEMO // 2)
 
     def _match(self, s: str) -> int | None:
         """Longest token that ``s`` starts with."""

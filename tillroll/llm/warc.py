@@ -25,10 +25,10 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillroll.llm.common import field, on_workers, packed, shared_path
+from tillroll.llm.common import field, on_workers, packed, shared_path, staged
 
 LEAST = 0
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_RECORDS = 5000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -59,8 +59,10 @@ def _url(url: Column) -> Column:
 def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """id, url, payload, payload_bytes, payload_digest, refers_to (null: a response).
 
-    Winners are found by partial aggregation on the digest and joined back; a payload that a
-    third of all rows share is split by the adaptive skew join.
+    Winners of repeated payloads are found by partial aggregation on the digest and written, so that
+    their size is known: a small table is broadcast by Spark's own threshold and the payloads stay
+    where they lie; beyond it they are shuffled, and a payload that a third of all rows share is
+    split by the adaptive skew join.
     """
     rows = packed(pages).select(field("page_id").cast("long").alias("id"), field("url").cast("string").alias("url"),
                                 F.coalesce(field("html").cast("string"), F.lit("")).alias("payload"))
@@ -68,7 +70,7 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         "digest", F.sha1(F.col("payload").cast("binary")))
     shared = (rows.where(F.col("payload_bytes") >= least).groupBy("digest")
               .agg(F.max("id").alias("winner"), F.count("*").alias("n")).where("n > 1"))
-    joined = rows.join(shared.select("digest", "winner"), "digest", "left")
+    joined = rows.join(staged(shared.select("digest", "winner"), "payload-winners"), "digest", "left")
     revisit = F.col("winner").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("id").eqNullSafe(F.col("winner"))
     return joined.select("id", "url", "payload", "payload_bytes",
                          base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
@@ -76,10 +78,9 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write the archives of ``pages`` (page_id, url, html) under ``path``; the number of files
-    follows from the bytes, about ``ARCHIVE_BYTES`` each.  ``date``: when the pages were fetched."""
+    """Write the archives of ``pages`` (page_id, url, html) under ``path``, in files of at most
+    ``ARCHIVE_RECORDS`` records.  ``date``: when the pages were fetched."""
     records = plan_records(pages, least)
-    total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")).cast("long"))).first()[0] or 0
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     response = F.col("refers_to").isNull()
     block = F.when(response, F.concat(F.lit(_HTTP), "payload")).otherwise(F.lit(_HTTP))
@@ -100,7 +101,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "197
         F.lit("Content-Type: application/http;msgtype=response" + _EOL),
         header("Content-Length", F.octet_length("block").cast("string")), F.lit(_EOL))
     (records.withColumn("block", block).select(F.concat(head, "block", F.lit(_EOL)).alias("value"))
-     .repartition(max(1, -(-total // ARCHIVE_BYTES))).write.option("lineSep", _EOL).text(path))
+     .write.option("lineSep", _EOL).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
 
 
 def _digest(data: bytes) -> str:
