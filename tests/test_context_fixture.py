@@ -26,7 +26,8 @@ def test_upsert_last_write_wins(spark):
 def test_lookup_fallbacks(spark):
     ctx = spark.createDataFrame(ROWS[:3], COLS)
     dates = spark.createDataFrame([(dt.date(2026, 1, d),) for d in (1, 2, 3, 4)], "date date")
-    got = {r["date"]: r for r in cx.context_lookup(dates, ctx).collect()}
+    none = spark.createDataFrame([], "date date, name string, type string")
+    got = {r["date"]: r for r in cx.context_lookup(dates, ctx, none).collect()}
     assert (got["2026-01-01"]["condition"], got["2026-01-01"]["weather_source"]) == ("Sunny", "context")
     assert (got["2026-01-02"]["temp_c"], got["2026-01-02"]["weather_source"]) == (27.0, "fallback")   # Unavailable
     assert got["2026-01-03"]["rain_mm"] == 0.5                                                        # null weather

@@ -48,9 +48,8 @@ def test_strip_is_python_strip(spark, raw, expected):
 def test_find_col_candidate_order_wins():
     cols = ["Item Code", "Product Name", "POS Display Name"]
     # first candidate found anywhere beats a later candidate in an earlier header
-    assert clean.find_col(cols, ["pos display name", "product name"]) == "POS Display Name"
-    assert clean.find_col(cols, ["product name", "item"]) == "Product Name"
-    assert clean.find_col(cols, ["missing"]) is None
+    wanted = {"a": ["pos display name", "product name"], "b": ["product name", "item"], "c": ["missing"]}
+    assert clean.resolve(cols, wanted) == {"a": "POS Display Name", "b": "Product Name", "c": None}
 
 
 def test_standardise_absent_columns_and_validation(spark):

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 # ── Fixed values that must equal the reference's behaviour ─────────────────────
 # Weekday names, Sunday first (SQLite %w numbering: 0 = Sunday).
 WEEKDAY_NAMES = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
-# Unit words for Indian number scale.
-LAKH = 100_000
-CRORE = 10_000_000
 
 
 def money(c: Column | str, digits: int = 2) -> Column:
@@ -30,12 +27,6 @@ def weekday_name(d: Column | str) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), F.dayofweek(col))
 
 
-def monday_index(d: Column | str) -> Column:
-    """0 = Monday … 6 = Sunday (Python ``date.weekday``)."""
-    col = F.col(d) if isinstance(d, str) else d
-    return F.weekday(col)
-
-
 # ASCII whitespace removed by Python's str.strip() (space, \t, \n, \r, \v, \f).
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -74,10 +65,10 @@ def label_before_paren(c: Column | str, width: int = 28) -> Column:
     return F.left(F.trim(F.split_part(col, F.lit("("), F.lit(1))), F.lit(width))
 
 
-def sha16(c: Column | str) -> Column:
-    """First 16 hex chars of SHA-256."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.left(F.sha2(col, 256), F.lit(16))
+def plain_number(c: Column) -> Column:
+    """Double of a decimal literal in text; null for anything else (type suffixes, NaN, words)."""
+    text = strip(c.cast("string"))
+    return F.when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
 
 
 def rnd(x: Column, digits: int) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import day_str, strip
+from tillroll.functions.exprs import day_str, plain_number, strip
 
 # ── Fixed values: patterns that must equal the reference's behaviour ──────────
 ISO_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
@@ -177,7 +177,7 @@ def table_digest(texts: DataFrame, text_col: str = "text") -> DataFrame:
     chosen table's cells are then parsed and summed once (in row order), so the per-line
     work is a handful of integer comparisons.
     """
-    head = F.upper(F.substring(F.ltrim(F.col(text_col)), 1, 200))
+    head = F.upper(F.substring(_strip(F.col(text_col)), 1, 200))
     bad = (
         F.col(text_col).isNull() | (_strip(F.col(text_col)) == "")
         | head.startswith("ERROR:") | head.startswith("SQL ERROR")
@@ -244,7 +244,7 @@ def _cells(line: Column) -> Column:
 
 def _num(c: Column) -> Column:
     t = F.replace(_strip(c), F.lit(","), F.lit(""))
-    return F.when((t != "") & (t != "-"), t.try_cast("double"))
+    return plain_number(t)
 
 
 def _named(**kv: Column) -> Column:
@@ -282,14 +282,14 @@ def _finish(r: Column) -> Column:
 
 def primary_total(digests: DataFrame, key: str = "answer_id") -> DataFrame:
     """T3 — per answer: the first digested column named like revenue / total / netamt,
-    else the column with the largest sum (first on ties).  Digests are taken in
-    ``fact_order`` order when several tool outputs belong to one answer."""
+    else the column with the largest sum (first on ties) of the first digest with sums.
+    Digests are taken in ``fact_order`` order when several tool outputs belong to one answer."""
     cols = digests.filter(F.col("column_sums").isNotNull()).select(
         key, "fact_order", F.posexplode("column_sums").alias("pos", "c")
     ).select(key, "fact_order", "pos", F.col("c.col").alias("col"), F.col("c.sum").alias("sum"))
     named = F.lower("col").rlike("revenue|total|netamt")
     order_named = F.struct("fact_order", "pos")
-    order_max = F.struct((-F.col("sum")).alias("neg"), "fact_order", "pos")
+    order_max = F.struct("fact_order", (-F.col("sum")).alias("neg"), "pos")
     return cols.groupBy(key).agg(
         F.min_by(F.struct("sum", "col"), F.when(named, order_named)).alias("n"),
         F.min_by(F.struct("sum", "col"), order_max).alias("m"),
@@ -374,7 +374,7 @@ def scenario_tags(texts: DataFrame, zones: DataFrame, ref_col: str = "ref_date",
     hit = F.filter("zones", lambda z: F.instr(low, F.lower(z)) > 0)
     return j.select(
         "scenario_id", "text",
-        F.coalesce(hit[0], F.lit(default_zone)).alias("zone"),
+        F.coalesce(F.get(hit, F.lit(0)), F.lit(default_zone)).alias("zone"),
         rain.otherwise(F.lit(0.0)).alias("rain_mm"),
         temp.otherwise(F.lit(27.0)).alias("temp_c"),
         day_str(F.coalesce(day, F.col(ref_col))).alias("date"),

@@ -45,14 +45,15 @@ PAIR_BLOCK = 512
 
 
 # ── A26 / A25 / A27 / B1 ───────────────────────────────────────────────────────
-def bill_items(sales: DataFrame, with_rate: bool = False) -> DataFrame:
-    """A26 — (bill, item) pre-aggregation of revenue and quantity; empty items dropped.
+def bill_items(sales: DataFrame, with_rate: bool = False, keep_blank: bool = False) -> DataFrame:
+    """A26 — (bill, item) pre-aggregation of revenue and quantity; empty items dropped
+    unless ``keep_blank``.
 
     ``with_rate`` also carries the price sum / count so item prices (A25) come from the
     same single pass over the fact."""
     extra = [F.sum("BASIC_RATE").alias("rate_sum"), F.count("BASIC_RATE").alias("rate_n")] if with_rate else []
     return (
-        sales.filter(non_empty("PRODUCT"))
+        (sales if keep_blank else sales.filter(non_empty("PRODUCT")))
         .groupBy(F.col("INVOICE_NO").alias("bill"), F.col("PRODUCT").alias("item"))
         .agg(F.sum("NET_AMT").alias("rev"), F.sum("QTY_PACKS").alias("qty"), *extra)
     )
@@ -245,7 +246,7 @@ def live_basket(filtered_sales: DataFrame, top_n: int = 8) -> DataFrame:
     item-level cuts are applied before pairing, which is exact).  Needs ≥ 2 bills.
     Support % 2dp, confidence % 1dp, lift 2dp; ordered by lift descending.
     """
-    bi = bill_items(filtered_sales)
+    bi = bill_items(filtered_sales, keep_blank=True)  # bills of blank products count as bills
     per_item = bi.groupBy("item").agg(
         F.sum("rev").cast("double").alias("rev"), F.sum("qty").cast("double").alias("qty"),
         F.count(F.lit(1)).alias("bills"),

@@ -86,15 +86,17 @@ def week_revenue(spine: DataFrame, daily: DataFrame) -> DataFrame:
     return spine.join(daily, "date", "left")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str = "date", order: str = "updated_at") -> DataFrame:
-    """S9 — last write wins per key (all other columns replaced), S10 — additive schema.
+def upsert(existing: DataFrame, incoming: DataFrame, key: str = "date", order: str = "updated_at",
+           tie: str = "weather_source") -> DataFrame:
+    """S9 — an incoming row replaces the stored one of its key, whatever its stamp; S10 — additive schema.
 
-    Both inputs are unioned by name (missing columns become null); the newest row per key
-    survives.  The caller writes the result to a *new* path (never the one being read).
+    Both inputs are unioned by name (missing columns become null).  Within one side the newest
+    row per key survives; equal stamps fall by ``tie`` and then by the whole row's hash.  The caller writes the result to a *new* path (never the one being read).
     """
-    u = existing.unionByName(incoming, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    u = existing.withColumn("_in", F.lit(0)).unionByName(incoming.withColumn("_in", F.lit(1)), allowMissingColumns=True)
+    ties = [F.col(tie)] if tie in u.columns else []
+    w = Window.partitionBy(key).orderBy(F.col("_in").desc(), F.col(order).desc(), *ties, F.xxhash64(*u.columns))
+    return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_in")
 
 
 def headlines_array(ctx: DataFrame) -> Column:
@@ -107,20 +109,20 @@ def usable_weather(ctx: DataFrame) -> Column:
     return c.isNotNull() & (c != "") & ~c.contains("Unavailable")
 
 
-def context_lookup(dates: DataFrame, ctx: DataFrame) -> DataFrame:
+def context_lookup(dates: DataFrame, ctx: DataFrame, holidays: DataFrame) -> DataFrame:
     """C4 — stored context first, fallback second, for every date in ``dates``.
 
     Weather is taken from the stored row when its condition is non-empty and not
     'Unavailable', else the fallback defaults; the holiday comes from the stored row
-    when one exists, else from the calendar rule (C3 without a calendar table: C1/C2).
+    when one exists, else from the full calendar (C3 over ``holidays``: date, name, type).
     """
     c = ctx.select(
         F.col("date").cast("date").alias("date"), "is_holiday", "holiday_name", "holiday_type",
         "temp_max_c", "precipitation_mm", "weather_condition", F.lit(True).alias("_stored"),
     )
-    j = dates.select("date").join(c, "date", "left")
+    rule = resolve_holidays(dates, holidays).select("date", F.col("holiday_name").alias("_name"), F.col("holiday_type").alias("_type"))
+    j = dates.select("date").join(c, "date", "left").join(rule, "date", "left")
     ok = usable_weather(j) & F.col("_stored")
-    comm = F.coalesce(fixed_event(F.col("date")), nth_sunday_event(F.col("date")))
     stored = F.col("_stored").isNotNull()
     return j.select(
         day_str("date").alias("date"),
@@ -128,11 +130,11 @@ def context_lookup(dates: DataFrame, ctx: DataFrame) -> DataFrame:
         F.when(ok, F.col("precipitation_mm")).otherwise(F.lit(DEFAULT_RAIN_MM)).alias("rain_mm"),
         F.when(ok, F.col("weather_condition")).otherwise(F.lit("Unknown")).alias("condition"),
         F.when(ok, F.lit("context")).otherwise(F.lit("fallback")).alias("weather_source"),
-        F.when(stored, F.col("is_holiday") == 1).otherwise(comm.isNotNull()).alias("is_holiday"),
+        F.when(stored, F.col("is_holiday") == 1).otherwise(F.col("_name").isNotNull()).alias("is_holiday"),
         F.when(stored, F.when(F.col("is_holiday") == 1, F.coalesce("holiday_name", F.lit("Holiday"))))
-        .otherwise(comm).alias("holiday_name"),
+        .otherwise(F.col("_name")).alias("holiday_name"),
         F.when(stored, F.when(F.col("is_holiday") == 1, F.coalesce("holiday_type", F.lit("Public"))))
-        .otherwise(F.when(comm.isNotNull(), F.lit("Commercial/Cultural"))).alias("holiday_type"),
+        .otherwise(F.col("_type")).alias("holiday_type"),
         F.when(stored, F.lit("context")).otherwise(F.lit("fallback")).alias("holiday_source"),
     )
 
@@ -183,7 +185,7 @@ def market_risk(ctx: DataFrame) -> DataFrame:
     """C9 / O5 / F10 — latest row whose disruptors are present and not the no-headlines
     marker; lead-in up to 'identified:' / 'are:' stripped, newlines joined with ' | ',
     a 140-char snippet (with an ellipsis when the full text is longer)."""
-    q = ctx.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").startswith("No headlines"))
+    q = ctx.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").ilike("No headlines%"))
     top = q.orderBy(F.col("date").desc()).limit(1)
     text = F.trim(F.regexp_replace("news_disruptors", r"(?is)^.*?(?:identified|are):\s*", ""))
     snippet = F.left(F.regexp_replace(text, "\n", " | "), F.lit(140))
@@ -212,9 +214,9 @@ def weather_join(zone_days: DataFrame, ctx: DataFrame) -> DataFrame:
         "precipitation_mm", F.coalesce("precipitation_mm", F.lit(DEFAULT_RAIN_MM)))
 
 
-def enrich_anomalies(anomalies: DataFrame, ctx: DataFrame) -> DataFrame:
+def enrich_anomalies(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame) -> DataFrame:
     """J6 / N7 — each anomaly with weather / holiday / news context of its date (C4 + C5)."""
     dates = anomalies.select(F.col("date").cast("date").alias("date")).distinct()
-    look = context_lookup(dates, ctx)
+    look = context_lookup(dates, ctx, holidays)
     news = news_selection(ctx).select("date", "news_kind", "disruptors", "headlines")
     return anomalies.join(look, "date", "left").join(news, "date", "left")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,7 +109,7 @@ def with_features(rows: DataFrame, holidays: DataFrame, zone_index: DataFrame) -
     wd = F.weekday("date")  # 0 = Monday
     names = ["day_mon", "day_tue", "day_wed", "day_thu", "day_fri", "day_sat", "day_sun"]
     hol = holidays.select(F.col("date").alias("hdate")).distinct().withColumn("hflag", F.lit(1))
-    j = rows.join(F.broadcast(hol), rows["date"] == F.col("hdate"), "left").join(F.broadcast(zone_index), "zone", "left")
+    j = rows.join(F.broadcast(hol), rows["date"] == F.col("hdate"), "left").join(zone_index, "zone", "left")
     return j.select(
         *[c for c in rows.columns],
         F.coalesce("outlet_id", F.lit(0)).cast("double").alias("outlet_id"),
@@ -122,11 +122,14 @@ def with_features(rows: DataFrame, holidays: DataFrame, zone_index: DataFrame) -
 
 
 def zone_encoder(zones: DataFrame) -> DataFrame:
-    """M3 — label index of each zone in sorted order (StringIndexer, alphabetical)."""
-    model = StringIndexer(inputCol="zone", outputCol="idx", stringOrderType="alphabetAsc").fit(zones.select("zone").distinct())
-    labels = model.labels
-    spark = zones.sparkSession
-    return spark.createDataFrame([(z, float(i)) for i, z in enumerate(labels)], "zone string, outlet_id double")
+    """M3 — index of each zone in sorted order, over the distinct zones only."""
+    place = F.row_number().over(Window.orderBy("zone")) - 1
+    return zones.select("zone").filter(F.col("zone").isNotNull()).distinct().select("zone", place.cast("double").alias("outlet_id"))
+
+
+def sized(features: DataFrame, rows_per_task: int = 20_000) -> DataFrame:
+    """Few rows in few tasks, many in many: a forest runs a job per group of nodes."""
+    return features.repartition(max(1, -(-features.count() // rows_per_task)))
 
 
 # ── M5 / M6 / M7 / M8 ──────────────────────────────────────────────────────────
@@ -165,7 +168,7 @@ def cross_validate(features: DataFrame, p: ForestParams = ForestParams(), n_rows
     k = min(5, n // 5)
     if k < 2:
         return features.sparkSession.createDataFrame([], "metric string, value double")
-    data = date_folds(features, k).cache()
+    data = sized(date_folds(features, k)).cache()
     ev = RegressionEvaluator(labelCol="net_revenue", predictionCol="prediction", metricName="r2")
 
     def score(f: int) -> float:
@@ -204,7 +207,7 @@ def match_zone(text: Column, zones: Column) -> Column:
     """M10 — first zone (sorted) where either upper-cased name contains the other;
     otherwise the text as given."""
     hit = F.filter(zones, lambda z: (F.instr(F.upper(z), F.upper(text)) > 0) | (F.instr(F.upper(text), F.upper(z)) > 0))
-    return F.coalesce(hit[0], text)
+    return F.coalesce(F.get(hit, F.lit(0)), text)
 
 
 def predict_scenarios(model: PipelineModel, scenarios: DataFrame, holidays: DataFrame, zone_index: DataFrame) -> DataFrame:

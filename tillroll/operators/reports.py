@@ -54,12 +54,12 @@ def proactive_brief(sales_days: DataFrame, combos: DataFrame, ctx: DataFrame) ->
     return a.unionByName(b).unionByName(c)
 
 
-def morning_brief(anomalies: DataFrame, ctx: DataFrame) -> DataFrame:
+def morning_brief(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame) -> DataFrame:
     """R3 — N4 anomalies → N7 context → per-anomaly cause text → N6 digest with causes.
 
     The cause text stands in for the prose step (not built): condition, holiday and the
     news kind of the anomaly's date."""
-    enriched = context.enrich_anomalies(anomalies, ctx)
+    enriched = context.enrich_anomalies(anomalies, ctx, holidays)
     causes = enriched.select(
         "outlet_name",
         F.concat_ws("; ", F.concat(F.lit("weather "), F.col("condition")),

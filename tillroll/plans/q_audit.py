@@ -170,7 +170,7 @@ def t2(spark, sf):
 ev AS (SELECT date AS answer_id,
               weather_condition IS NOT NULL AND weather_condition <> '' AND NOT contains(weather_condition, 'Unavailable') AS blob_weather,
               is_holiday = 1 AS blob_holiday,
-              NOT starts_with(news_disruptors, 'No headlines') AS blob_news FROM ctx)
+              news_disruptors NOT ILIKE 'no headlines%' AS blob_news FROM ctx)
 SELECT a.answer_id,
        CASE WHEN trim(a.answer) <> '' AND regexp_matches(a.answer, '{_P['CAUSAL']}')
              AND ((regexp_matches(a.answer, '{_P['WEATHERISH']}') AND NOT COALESCE(ev.blob_weather, false))

@@ -199,7 +199,7 @@ _LIVE_ZONE, _LIVE_FROM, _LIVE_TO = "ASIA", "1996-01-01", "1998-12-31"
 @register("B5_live_basket", with_sales(f"""
 WITH f AS (SELECT * FROM sales WHERE ZONE = '{_LIVE_ZONE}' AND INVOICE_DATE >= DATE '{_LIVE_FROM}' AND INVOICE_DATE <= DATE '{_LIVE_TO}'),
 bi AS (SELECT INVOICE_NO AS bill, PRODUCT AS item, SUM(NET_AMT) AS rev, SUM(QTY_PACKS) AS qty
-       FROM f WHERE PRODUCT IS NOT NULL AND PRODUCT <> '' GROUP BY INVOICE_NO, PRODUCT),
+       FROM f GROUP BY INVOICE_NO, PRODUCT),
 per_item AS (SELECT item, CAST(SUM(rev) AS DOUBLE) AS rev, CAST(SUM(qty) AS DOUBLE) AS qty, COUNT(*) AS bills FROM bi GROUP BY item),
 tot AS (SELECT COUNT(DISTINCT bill) AS t FROM bi HAVING COUNT(DISTINCT bill) >= 2),
 ok AS (SELECT item, rev / GREATEST(qty, 1.0) AS avg, bills FROM per_item WHERE qty >= 2 AND rev / GREATEST(qty, 1.0) >= 10),

@@ -14,7 +14,7 @@ from tillroll.sources.tables import read_table
 
 _CTX = (
     "WITH ctx_dates AS (SELECT DISTINCT INVOICE_DATE AS date FROM sales),\n"
-    "d0_ctx AS (SELECT MIN(date) AS d0 FROM ctx_dates),\n"
+    "cal AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM ctx_dates),\n"
     + cx.commercial_sql() + ",\n"
     + cf.context_sql() + "\n"
 )
@@ -66,12 +66,15 @@ look AS (SELECT CAST(q.date AS VARCHAR) AS date,
         CASE WHEN ok THEN precipitation_mm ELSE 0.5 END AS rain_mm,
         CASE WHEN ok THEN weather_condition ELSE 'Unknown' END AS condition,
         CASE WHEN ok THEN 'context' ELSE 'fallback' END AS weather_source,
-        CASE WHEN stored THEN is_holiday = 1 ELSE cname IS NOT NULL END AS is_holiday,
-        CASE WHEN stored THEN CASE WHEN is_holiday = 1 THEN COALESCE(holiday_name, 'Holiday') END ELSE cname END AS holiday_name,
+        CASE WHEN stored THEN is_holiday = 1 ELSE gname IS NOT NULL OR cname IS NOT NULL END AS is_holiday,
+        CASE WHEN stored THEN CASE WHEN is_holiday = 1 THEN COALESCE(holiday_name, 'Holiday') END ELSE COALESCE(gname, cname) END AS holiday_name,
         CASE WHEN stored THEN CASE WHEN is_holiday = 1 THEN COALESCE(holiday_type, 'Public') END
-             ELSE CASE WHEN cname IS NOT NULL THEN 'Commercial/Cultural' END END AS holiday_type,
+             WHEN gname = 'Telangana Formation Day' THEN 'State' WHEN gname IS NOT NULL THEN 'National'
+             WHEN cname IS NOT NULL THEN 'Commercial/Cultural' END AS holiday_type,
         CASE WHEN stored THEN 'context' ELSE 'fallback' END AS holiday_source
  FROM (SELECT q.date, c.*, c.date IS NOT NULL AS stored,
+              CASE strftime(q.date, '%m-%d') WHEN '01-26' THEN 'Republic Day' WHEN '06-02' THEN 'Telangana Formation Day'
+                   WHEN '08-15' THEN 'Independence Day' WHEN '10-02' THEN 'Gandhi Jayanti' END AS gname,
               COALESCE(c.weather_condition IS NOT NULL AND c.weather_condition <> '' AND NOT contains(c.weather_condition, 'Unavailable'), false) AS ok,
               CASE WHEN strftime(q.date, '%m-%d') IN (SELECT md FROM commercial) THEN (SELECT name FROM commercial WHERE md = strftime(q.date, '%m-%d'))
                    WHEN dayofweek(q.date) = 0 AND month(q.date) = 5 AND (day(q.date) - 1) // 7 + 1 = 2 THEN 'Mother''s Day'
@@ -87,7 +90,7 @@ def c4(spark, sf):
     # every date of every ISO week touched by the data: includes dates with no stored row
     dates = cf.sales_dates(spark, sf)
     spine = cx.iso_week_spine(dates.select(F.col("date").alias("anchor")))
-    return cx.context_lookup(spine, _feed(spark, sf))
+    return cx.context_lookup(spine, _feed(spark, sf), cf.holiday_table(spine))
 
 
 _NEWS_SQL = """
@@ -132,13 +135,12 @@ def _week_rows(spark, sf):
     """C7 — context rows for the ISO week of the latest sales date (version 2)."""
     dates = cf.sales_dates(spark, sf)
     spine = cx.iso_week_spine(dates.agg(F.max("date").alias("anchor")))
-    return cf.build_context(spine, read_table(spark, sf, "documents"), cf.first_sales_date(dates), cf.UPDATED_V2)
+    return cf.build_context(spine, read_table(spark, sf, "documents"), cf.date_index(dates), cf.UPDATED_V2)
 
 
 _WEEK_CTE = (
     "wk_dates AS (SELECT DISTINCT CAST(unnest(generate_series(date_trunc('week', d), date_trunc('week', d) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS DATE) AS date\n"
     "             FROM (SELECT MAX(date) AS d FROM ctx_dates)),\n"
-    "d0_wk AS (SELECT MIN(date) AS d0 FROM ctx_dates),\n"
     + cf.context_sql("wk_dates", cf.UPDATED_V2, "wk")
 )
 _REFRESH = """
@@ -151,8 +153,8 @@ refresh AS (SELECT date, is_holiday, holiday_name, holiday_type,
 
 
 @register("S9_context_upsert", _ctx_sql("," + _WEEK_CTE + "," + _REFRESH + """,
-u AS (SELECT * FROM ctx UNION ALL SELECT * FROM refresh UNION ALL SELECT * FROM wk)
-SELECT * EXCLUDE (rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY updated_at DESC) AS rn FROM u) WHERE rn = 1"""))
+u AS (SELECT 0 AS side, * FROM ctx UNION ALL SELECT 1, * FROM refresh UNION ALL SELECT 1, * FROM wk)
+SELECT * EXCLUDE (rn, side) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY date ORDER BY side DESC, updated_at DESC, weather_source) AS rn FROM u) WHERE rn = 1"""))
 def s9(spark, sf):
     feed = _feed(spark, sf)
     incoming = cf.weather_refresh(feed).unionByName(_week_rows(spark, sf))
@@ -200,14 +202,15 @@ SELECT date, holiday_name AS holiday, weather_condition AS weather, snippet,
             || CASE WHEN weather_condition IS NOT NULL AND NOT contains(weather_condition, 'Unavailable') THEN ' · ' || weather_condition ELSE '' END
             || ' — ' || snippet || CASE WHEN length(news_disruptors) > 140 THEN '…' ELSE '' END AS label
 FROM (SELECT *, left(replace(trim(regexp_replace(news_disruptors, '^.*?(?:identified|are):\\s*', '', 'is')), chr(10), ' | '), 140) AS snippet
-      FROM ctx WHERE news_disruptors IS NOT NULL AND NOT starts_with(news_disruptors, 'No headlines')
+      FROM ctx WHERE news_disruptors IS NOT NULL AND news_disruptors NOT ILIKE 'no headlines%'
       ORDER BY date DESC LIMIT 1)"""))
 def c9(spark, sf):
     return cx.market_risk(_feed(spark, sf))
 
 
-@register("O6_headline_dedup", _ctx_sql("""
-SELECT doc_id, to_json(h)::VARCHAR AS headlines FROM doc_ctx"""))
+@register("O6_headline_dedup", """
+SELECT doc_id, to_json(list_slice(list_filter(lf, lambda x, i: list_position(lf, x) = i), 1, 10))::VARCHAR AS headlines
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lf FROM documents)""")
 def o6(spark, sf):
     docs = read_table(spark, sf, "documents")
     return docs.select("doc_id", F.to_json(cf.headline_lines(F.col("text"))).alias("headlines"))
@@ -243,12 +246,12 @@ FROM anoms a LEFT JOIN look l ON l.date = a.date LEFT JOIN news n ON n.date = a.
 @register("N7_anomaly_context", _n7_sql())
 def n7(spark, sf):
     an = detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
-    return cx.enrich_anomalies(an, _feed(spark, sf))
+    return cx.enrich_anomalies(an, _feed(spark, sf), cf.holiday_table(an.select(F.col("date").cast("date").alias("date"))))
 
 
 @register("F10_usable_disruptors", _ctx_sql("""
-SELECT COUNT(*) AS rows FROM ctx WHERE news_disruptors IS NOT NULL AND NOT starts_with(news_disruptors, 'No headlines')"""))
+SELECT COUNT(*) AS rows FROM ctx WHERE news_disruptors IS NOT NULL AND news_disruptors NOT ILIKE 'no headlines%'"""))
 def f10(spark, sf):
     c = _feed(spark, sf)
-    return c.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").startswith("No headlines")).agg(
+    return c.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").ilike("No headlines%")).agg(
         F.count(F.lit(1)).alias("rows"))

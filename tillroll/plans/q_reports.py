@@ -41,7 +41,7 @@ def r2(spark, sf):
 @register("R3_morning_brief")
 def r3(spark, sf):
     an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
-    digest = reports.morning_brief(an, cf.context_feed(spark, sf))
+    digest = reports.morning_brief(an, cf.context_feed(spark, sf), cf.holiday_table(cf.sales_dates(spark, sf)))
     path = io.scratch_path(spark, "morning_brief_history")
     io.log_notification(digest.select(
         F.lit("morning").alias("timestamp"), "anomaly_count", "outlets_flagged",

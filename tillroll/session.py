@@ -3,8 +3,8 @@
 Library code never creates its own session: every operator takes DataFrames (or a
 session) from the caller.  ``local_session`` is for tests, benchmarks and local runs.
 ``checkpoint_dir`` reads the shared folder the cluster names in
-``spark.checkpoint.dir`` and only falls back to a scratch folder when the setting is
-absent (local tests); it never overrides a configured value.
+``spark.checkpoint.dir``; it never overrides a configured value, makes a scratch folder only for
+a local master (tests) and fails on a cluster where the setting is missing.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path

@@ -7,10 +7,10 @@ derived deterministically from the data so that its size follows the data:
 * dates  — every invoice date of the sales fact (or any date frame passed in);
 * weather — integer rules on the epoch day number (reproducible in any SQL engine);
   every 29th epoch day is an API failure ('Unavailable'), every 31st has no weather;
-* news   — the document whose ``doc_id`` equals the day's offset from the first sales
-  date is that day's digest; its lines (whole text, split on newlines, trimmed, empty
-  lines dropped, first occurrence kept, first 10) are the headlines; every 23rd epoch
-  day stores a truncated (invalid) JSON array;
+* news   — every document belongs to one sales date (``doc_id`` modulo the number of
+  dates); the lines of a date's documents (whole texts, split on newlines, trimmed, empty
+  lines dropped, first occurrence kept, in document order) are its headlines, of which the
+  first 10 are stored; every 23rd epoch day stores a truncated (invalid) JSON array;
 * holidays — C3 over a fixed national / state calendar expanded over the years present.
 
 ``CONTEXT_SQL`` is the same derivation as DuckDB SQL for the oracles.
@@ -18,7 +18,7 @@ derived deterministically from the data so that its size follows the data:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.sources.tables import read_table, sales
@@ -81,21 +81,47 @@ def weather_columns(d: Column) -> list[Column]:
     ]
 
 
-def headline_lines(text: Column) -> Column:
-    """O6 — whole text → lines, trimmed, non-empty, first occurrence kept, first 10."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != F.lit(""))
-    return F.slice(F.array_distinct(lines), 1, 10)
+HEADLINES = 10  # headlines stored per date
 
 
-def build_context(dates: DataFrame, docs: DataFrame, first_date: DataFrame, updated_at: str) -> DataFrame:
-    """Context rows for ``dates`` (column ``date``); ``first_date`` is a one-row frame (d0)."""
+def text_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != F.lit(""))
+
+
+def headline_lines(text: Column, keep: int = HEADLINES) -> Column:
+    """O6 — whole text → lines, trimmed, non-empty, first occurrence kept, first ``keep``."""
+    return F.slice(F.array_distinct(text_lines(text)), 1, keep)
+
+
+def date_index(dates: DataFrame) -> DataFrame:
+    """(date, k, n): position of each date among all ``n`` dates (calendar-sized)."""
+    return dates.select("date", (F.row_number().over(Window.orderBy("date")) - 1).cast("bigint").alias("k"),
+                        F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+
+
+def headlines_by_date(docs: DataFrame, calendar: DataFrame, keep: int = HEADLINES) -> DataFrame:
+    """(date, h): the first ``keep`` distinct lines of all documents of each date.
+
+    Repeated lines fall together in a partial aggregate and each task passes on at most
+    ``keep`` lines per date, so a date's documents never meet in one task.
+    """
+    size = calendar.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
+    lines = docs.join(size, how="inner").select(
+        F.coalesce(F.pmod("doc_id", "n"), F.lit(0)).alias("k"), "doc_id", F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
+    first = lines.groupBy("k", "line").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("at"))
+    top = first.withColumn("place", place).filter(F.col("place") <= keep)
+    per_date = top.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("h"))
+    return calendar.join(per_date, "k").select("date", "h")
+
+
+def build_context(dates: DataFrame, docs: DataFrame, calendar: DataFrame, updated_at: str) -> DataFrame:
+    """Context rows for ``dates`` (column ``date``); ``calendar`` is the ``date_index`` of the sales dates."""
     from tillroll.operators.context import resolve_holidays
 
     hol = resolve_holidays(dates, holiday_table(dates))
-    doc = docs.select(F.col("doc_id"), headline_lines(F.col("text")).alias("h"))
-    base = dates.join(first_date, how="inner").select("date", F.datediff("date", "d0").cast("bigint").alias("k"))
-    # doc_id equals the day offset: an equi-join on a derived key
-    withdoc = base.join(doc, base["k"] == doc["doc_id"], "left").select("date", F.coalesce("h", F.array().cast("array<string>")).alias("h"))
+    withdoc = dates.select("date").join(headlines_by_date(docs, calendar), "date", "left").select(
+        "date", F.coalesce("h", F.array().cast("array<string>")).alias("h"))
     e = _epoch_day(F.col("date"))
     js = F.to_json("h")
     has = F.size("h") > 0
@@ -112,14 +138,10 @@ def build_context(dates: DataFrame, docs: DataFrame, first_date: DataFrame, upda
     )
 
 
-def first_sales_date(dates: DataFrame) -> DataFrame:
-    return dates.agg(F.min("date").alias("d0"))
-
-
 def context_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored context table (version 1), one row per sales date."""
     dates = sales_dates(spark, sf_dir)
-    return build_context(dates, read_table(spark, sf_dir, "documents"), first_sales_date(dates), UPDATED_V1)
+    return build_context(dates, read_table(spark, sf_dir, "documents"), date_index(dates), UPDATED_V1)
 
 
 def weather_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,21 +174,24 @@ def _holiday_values() -> str:
 
 def context_sql(dates_cte: str = "ctx_dates", updated_at: str = UPDATED_V1, out: str = "ctx") -> str:
     """CTE text (no leading WITH) producing ``out`` from a CTE ``dates_cte(date DATE)``
-    and ``d0_{out}(d0)``; expects a ``commercial`` lookup and ``documents``."""
+    and the date index ``cal(date, k, n)`` of the sales dates; expects a ``commercial`` lookup and ``documents``."""
     return f"""
 hol_{out} AS (SELECT make_date(y, hv.m, hv.dd) AS date, hv.name, hv.type, hv.prio
          FROM (SELECT DISTINCT year(date) AS y FROM {dates_cte}) yy CROSS JOIN {_holiday_values()}),
 holr_{out} AS (SELECT date, arg_min(name, prio) AS hname, arg_min(type, prio) AS htype FROM hol_{out} GROUP BY date),
-doc_{out} AS (SELECT doc_id, list_slice(list_filter(lf, lambda x, i: list_position(lf, x) = i), 1, 10) AS h
-         FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lf FROM documents)),
+lines_{out} AS (SELECT ((doc_id % n) + n) % n AS k, doc_id, unnest(lf) AS line, generate_subscripts(lf, 1) AS pos
+         FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lf FROM documents)
+         CROSS JOIN (SELECT max(n) AS n FROM cal)),
+firsts_{out} AS (SELECT * FROM lines_{out} QUALIFY row_number() OVER (PARTITION BY k, line ORDER BY doc_id, pos) = 1),
+doc_{out} AS (SELECT c.date, t.h FROM cal c JOIN (SELECT k, list(line ORDER BY doc_id, pos) AS h
+         FROM (SELECT * FROM firsts_{out} QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) <= {HEADLINES}) GROUP BY k) t ON t.k = c.k),
 b_{out} AS (SELECT c.date, date_diff('day', DATE '1970-01-01', c.date) AS e, COALESCE(doc.h, CAST([] AS VARCHAR[])) AS h,
               hr.hname, hr.htype,
               CASE WHEN strftime(c.date, '%m-%d') IN (SELECT md FROM commercial) THEN (SELECT name FROM commercial WHERE md = strftime(c.date, '%m-%d'))
                    WHEN dayofweek(c.date) = 0 AND month(c.date) = 5 AND (day(c.date) - 1) // 7 + 1 = 2 THEN 'Mother''s Day'
                    WHEN dayofweek(c.date) = 0 AND month(c.date) = 6 AND (day(c.date) - 1) // 7 + 1 = 3 THEN 'Father''s Day'
                    WHEN dayofweek(c.date) = 0 AND month(c.date) = 8 AND (day(c.date) - 1) // 7 + 1 = 1 THEN 'Friendship Day' END AS cname
-       FROM {dates_cte} c CROSS JOIN d0_{out}
-       LEFT JOIN doc_{out} doc ON doc.doc_id = date_diff('day', d0_{out}.d0, c.date)
+       FROM {dates_cte} c LEFT JOIN doc_{out} doc ON doc.date = c.date
        LEFT JOIN holr_{out} hr ON hr.date = c.date),
 w_{out} AS (SELECT *, (e % 29 = 0) AS api_err, (e % 31 = 0 AND NOT (e % 29 = 0)) AS missing,
               18.0 + ((e * 37) % 200) / 10.0 AS temp, (e * 53 + 17) % 1000 AS r FROM b_{out}),

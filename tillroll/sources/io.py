@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.functions.exprs import plain_number
 from tillroll.session import checkpoint_dir
 
 
@@ -40,7 +41,7 @@ def numeric_columns(df: DataFrame) -> DataFrame:
     One aggregate over the data (a failure count per column); the result is one row of
     #columns counts, unpivoted to (column, numeric)."""
     fails = df.agg(*[
-        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(f"c{i}")
+        F.count_if(F.col(f"`{c}`").isNotNull() & plain_number(F.col(f"`{c}`")).isNull()).alias(f"c{i}")
         for i, c in enumerate(df.columns)
     ])
     stack = F.explode(F.array(*[
@@ -55,7 +56,7 @@ def apply_numeric_typing(df: DataFrame) -> DataFrame:
     The decision needs the one-row failure counts (bounded by #columns) on the driver."""
     flags = {r["column"]: r["numeric"] for r in numeric_columns(df).collect()}
     return df.select(*[
-        (F.col(f"`{c}`").try_cast("double") if flags[c] else F.col(f"`{c}`")).alias(c) for c in df.columns
+        (plain_number(F.col(f"`{c}`")) if flags[c] else F.col(f"`{c}`")).alias(c) for c in df.columns
     ])
 
 
@@ -92,7 +93,7 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 # ── S11 / S12 ──────────────────────────────────────────────────────────────────
 def append_trace(payload: DataFrame, path: str) -> None:
     """S11 — append audit rows as JSON lines with a UTC timestamp."""
-    payload.withColumn("ts", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.mode("append").json(path)
+    payload.withColumn("ts", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).write.mode("append").json(path)
 
 
 def log_notification(rows: DataFrame, path: str, batch: int) -> None:

@@ -72,7 +72,7 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("date")
     vals = {
         "d": day_str(d), "d7": day_str(F.date_add(d, 7)), "m": F.date_format(d, "yyyy-MM"),
-        "z1": F.col("zs")[0], "z2": F.col("zs")[1], "dfar": day_str(F.date_add(d, FAR_DAYS)),
+        "z1": F.get("zs", F.lit(0)), "z2": F.get("zs", F.lit(1)), "dfar": day_str(F.date_add(d, FAR_DAYS)),
     }
     e = _epoch(d) % len(QUESTION_TEMPLATES)
     q = None
