@@ -38,16 +38,16 @@ _START = re.compile(_VERSION.pattern + rb"|" + re.escape(_GZIP))
 _NEED = 1 << 16
 
 
-def base32_sha1(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: each five hex digits are four letters."""
-    digest = F.sha1(data)
+def base32(hexadecimal: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hex: each five hex digits are four letters."""
+    chunks = F.array(*[F.substring(hexadecimal, 5 * c + 1, 5) for c in range(8)])
 
-    def letter(i: Column) -> Column:
-        bits = F.conv(F.substring(digest, (5 * F.floor(i / 4) + 1).cast("int"), F.lit(5)), 16, 10).cast("int")
-        place = F.floor(bits / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32
-        return F.substring(F.lit(_ALPHABET), place + 1, F.lit(1))
+    def letters(chunk: Column) -> Column:
+        bits = F.conv(chunk, 16, 10).cast("int")
+        return F.concat(*[F.substring(F.lit(_ALPHABET), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+                          for s in (15, 10, 5, 0)])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    return F.array_join(F.transform(chunks, letters), "")
 
 
 def _url(url: Column) -> Column:
@@ -73,7 +73,7 @@ def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     joined = rows.join(staged(shared.select("digest", "winner"), "payload-winners"), "digest", "left")
     revisit = F.col("winner").isNotNull() & (F.col("payload_bytes") >= least) & ~F.col("id").eqNullSafe(F.col("winner"))
     return joined.select("id", "url", "payload", "payload_bytes",
-                         base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"),
+                         base32(F.col("digest")).alias("payload_digest"),
                          F.when(revisit, F.col("winner")).alias("refers_to"))
 
 
@@ -96,11 +96,11 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST, date: str = "197
         F.when(~response, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + _EOL))
         .otherwise(""),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        header("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("block").cast("binary")))),
+        header("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32(F.col("block_sha1")))),
         header("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.lit("Content-Type: application/http;msgtype=response" + _EOL),
         header("Content-Length", F.octet_length("block").cast("string")), F.lit(_EOL))
-    (records.withColumn("block", block).select(F.concat(head, "block", F.lit(_EOL)).alias("value"))
+    (records.withColumn("block", block).withColumn("block_sha1", F.sha1(F.col("block").cast("binary"))).select(F.concat(head, "block", F.lit(_EOL)).alias("value"))
      .write.option("lineSep", _EOL).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
 
 
