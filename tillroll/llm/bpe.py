@@ -36,30 +36,51 @@ _NEVER = 1 << 62
 _DOUBLE = re.compile(r" (?=\s)| \Z")
 
 
-class Codec:
+def vocabulary(ranks: bytes) -> dict[int, bytes]:
+    """Rank -> bytes of a token, from a rank file."""
+    pairs = (line.split() for line in ranks.splitlines() if line)
+    return {int(rank): base64.b64decode(token) for token, rank in pairs}
+
+
+class Decoder:
+    """Bytes of packed ids; ``tokens``: bytes by rank, empty where a rank is not used."""
+
+    def __init__(self, ranks: bytes):
+        tokens = vocabulary(ranks)
+        self.tokens = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+class Codec(Decoder):
     def __init__(self, ranks: bytes, pattern: str):
-        self.tokens: dict[int, bytes] = {}
-        self.ids: dict[str, int] = {}
+        super().__init__(ranks)
+        self.ids = {raw.decode("latin-1"): rank for rank, raw in enumerate(self.tokens) if raw}
         self.trie = ahocorasick.Automaton()
-        for line in ranks.splitlines():
-            if line:
-                token, rank = line.split()
-                raw, rank = base64.b64decode(token), int(rank)
-                self.tokens[rank] = raw
-                self.ids[raw.decode("latin-1")] = rank
-                self.trie.add_word(raw.decode("latin-1"), rank)
-        self.longest_token = max(map(len, self.tokens.values()), default=1)
+        for token, rank in self.ids.items():
+            self.trie.add_word(token, rank)
+        self.longest_token = max(map(len, self.tokens), default=1)
         self.find = regex.compile(pattern).findall
-        self.sizes = {t: len(raw) for t, raw in self.tokens.items()}
+        self.sizes = list(map(len, self.tokens))
         #: longest token that each token begins with, apart from itself
-        self.shorter = {t: self._match(raw.decode("latin-1")[:-1]) for t, raw in self.tokens.items()}
-        self.compatible = lru_cache(MEMO)(self._compatible)
+        self.shorter = [self._match(raw.decode("latin-1")[:-1]) for raw in self.tokens]
+        self.fits = Memo(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), MEMO)
         self.touching_right = lru_cache(None)(lambda t: self._touching(t, 1))
         self.touching_left = lru_cache(None)(lambda t: self._touching(t, 0))
         self.parts = lru_cache(None)(self._parts)
         self.piece = Memo(self._packed_piece, MEMO)
         self.word = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(w))), MEMO // 8)
-        self.spaced = Memo(lambda w: b"".join(map(self.piece.__getitem__, self.find(" " + w))), 2 * MEMO)
+        self.spaced = Memo(self._spaced, 2 * MEMO)
+
+    def _spaced(self, word: str) -> bytes:
+        """Packed ids of a word behind a space; letters are one piece, shared by all words that begin with it."""
+        if word.isalpha():
+            return self._packed_piece(" " + word)
+        pieces = self.find(" " + word)
+        if len(pieces) > 1 and pieces[0][0] == " " and (start := pieces[0][1:]).isalpha():
+            return self.spaced[start] + b"".join(map(self.piece.__getitem__, pieces[1:]))
+        return b"".join(map(self.piece.__getitem__, pieces))
 
     def _match(self, s: str) -> int | None:
         """Longest token that ``s`` starts with."""
@@ -108,23 +129,27 @@ class Codec:
         if (whole := self.ids.get(s)) is not None:
             return [whole]
         ids: list[int] = []
-        ids_of, sizes, shorter, compatible = self.ids, self.sizes, self.shorter, self.compatible
-        end, longest, at, last = len(s), self.longest_token, 0, -1
+        ids_of, sizes, shorter, fits = self.ids.get, self.sizes, self.shorter, self.fits
+        prefix, end, longest, at, last = self.trie.longest_prefix, len(s), self.longest_token, 0, -1
         dead = bytearray(end + 1)
         token = self._match(s[:longest])
         while at < end:
-            while token is not None and (dead[at + sizes[token]] or last >= 0 and not compatible(last, token)):
+            while token is not None and (dead[at + sizes[token]] or last >= 0 and not fits[last << 32 | token]):
                 token = shorter[token]
             if token is None:
                 dead[at] = 1
                 token = ids.pop()
                 at -= sizes[token]
                 token = shorter[token]
+                last = ids[-1] if ids else -1
             else:
                 ids.append(token)
                 at += sizes[token]
-                token = ids_of[rest] if (rest := s[at:at + longest]) in ids_of else self._match(rest)
-            last = ids[-1] if ids else -1
+                last = token
+                rest = s[at:at + longest]
+                n = prefix(rest)
+                while n and (token := ids_of(rest[:n])) is None:
+                    n -= 1
         return ids
 
     def _packed_piece(self, piece: str) -> bytes:
@@ -139,9 +164,6 @@ class Codec:
         first, *rest = text.split(" ")
         return self.word[first] + b"".join(map(self.spaced.__getitem__, rest))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 _codecs: dict = {}
 
@@ -154,6 +176,12 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
+def decoder(ranks: bytes) -> Decoder:
+    if ranks not in _codecs:
+        _codecs[ranks] = Decoder(ranks)
+    return _codecs[ranks]
+
+
 def _shared(docs: DataFrame, path: str):
     with open(path, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
@@ -173,12 +201,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(rows: DataFrame, path: str, pattern: str, column: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded``: the bytes that the packed ids stand for."""
+    """``rows`` with ``decoded``: the bytes that the packed ids stand for, whatever the pattern."""
     ranks = _shared(rows, path)
 
     @F.arrow_udf("binary")
     def run(ids: pa.Array) -> pa.Array:
-        c = codec(ranks.value, pattern)
+        c = decoder(ranks.value)
         return pa.array([c.decode(i) for i in ids.to_pylist()], pa.binary())
 
     return rows.withColumn("decoded", run(F.col(column)))
