@@ -83,18 +83,16 @@ class Lexicon:
         """Length-normalised weight of the hits outside exception phrases."""
         folded = fold(text)
         hits: dict[int, float] = {}
-        quiet = []
+        quiet: set[int] = set()
         if len(self.automaton):
             for end, (size, weight) in self.automaton.iter(folded):
                 at = end - size + 1
                 if weight is None:
-                    quiet.append((at, end))
+                    quiet.update(range(at, end))
                 else:
                     hits[at] = max(weight, hits.get(at, 0.0))
-        for start, end in quiet:
-            for at in [at for at in hits if start <= at < end]:
-                del hits[at]
-        return sum(hits.values()) / math.log2(2 + folded.count(" ")) if hits else 0.0
+        total = sum(weight for at, weight in hits.items() if at not in quiet)
+        return total / math.log2(2 + folded.count(" "))
 
     def score(self, text: str) -> float:
         z = self.weigh(text)
