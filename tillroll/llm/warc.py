@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillroll.llm.common import field, on_workers, packed, shared_path, staged
 
 LEAST = 0
-ARCHIVE_RECORDS = 5000
+ARCHIVE_RECORDS = 1000
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EOL = "\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
