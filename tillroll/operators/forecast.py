@@ -211,8 +211,12 @@ def match_zone(text: Column, zones: Column) -> Column:
 
 
 def predict_scenarios(model: PipelineModel, scenarios: DataFrame, holidays: DataFrame, zone_index: DataFrame) -> DataFrame:
-    """M9 + M11 — prediction under the scenario and under the baseline (same zone and day,
-    28 °C, 0 mm), in one transform over the union of both row sets.
+    """M9 + M11 — the report over one transform of all scenario and baseline rows."""
+    return scenario_report(model.transform(scenario_features(scenarios, holidays, zone_index)))
+
+
+def scenario_features(scenarios: DataFrame, holidays: DataFrame, zone_index: DataFrame) -> DataFrame:
+    """M9 — feature rows of every scenario and of its baseline (same zone and day, 28 °C, 0 mm).
 
     ``scenarios``: (scenario_id, zone, date, rain_mm, temp_c); null weather → defaults."""
     s = scenarios.select(
@@ -223,7 +227,11 @@ def predict_scenarios(model: PipelineModel, scenarios: DataFrame, holidays: Data
     )
     b = s.select("scenario_id", "zone", "date", F.lit(BASELINE_TEMP_C).alias("temp_max_c"),
                  F.lit(BASELINE_RAIN_MM).alias("precipitation_mm"), F.lit("baseline").alias("kind"))
-    scored = model.transform(with_features(s.unionByName(b), holidays, zone_index))
+    return with_features(s.unionByName(b), holidays, zone_index)
+
+
+def scenario_report(scored: DataFrame) -> DataFrame:
+    """M11 — scenario beside baseline: change in percent, verdict and impact of scored feature rows."""
     piv = scored.groupBy("scenario_id", "zone", "date").agg(
         F.max(F.when(F.col("kind") == "scenario", F.col("prediction"))).alias("pred"),
         F.max(F.when(F.col("kind") == "baseline", F.col("prediction"))).alias("base"),

@@ -70,6 +70,8 @@ def filter_dates(sales: DataFrame, date_start: str, date_end: str) -> DataFrame:
 
 def filter_days(sales: DataFrame, days) -> DataFrame:
     """F3 — date equality / ``IN`` list."""
+    if "year_month" in sales.columns:
+        sales = sales.filter(F.col("year_month").isin(sorted({str(d)[:7] for d in days})))
     return sales.filter(F.col("INVOICE_DATE").isin([F.lit(d).cast("date") for d in days]))
 
 
@@ -82,12 +84,13 @@ def filter_month(sales: DataFrame, month: str) -> DataFrame:
 
 def filter_trailing(sales: DataFrame, target: str, days: int = 90) -> DataFrame:
     """F5 — lower bound only: ``d >= target - days`` (no upper bound, as in the source)."""
-    return sales.filter(F.col("INVOICE_DATE") >= F.date_sub(F.lit(target).cast("date"), days))
+    first = _dt.date.fromisoformat(str(target)) - _dt.timedelta(days=days)
+    return _month_prune(sales, first.isoformat(), None).filter(F.col("INVOICE_DATE") >= F.lit(first))
 
 
 def optional_filters(sales: DataFrame, zone: str = "", date_from: str = "", date_to: str = "", group: str = "") -> DataFrame:
     """F8 — blank argument means no filter; F7 for the group text."""
-    out = sales
+    out = _month_prune(sales, date_from.strip() or None, date_to.strip() or None)
     if zone.strip():
         out = out.filter(F.col("ZONE") == zone.strip())
     if date_from.strip():

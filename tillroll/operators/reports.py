@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import rnd
-from tillroll.operators import anomaly, basket, context, kpi
+from tillroll.operators import anomaly, context, kpi
+from tillroll.sources import io
 
 
 @dataclass
@@ -20,13 +21,14 @@ class KpiTab:
     raw: DataFrame
 
 
-def kpi_tab(sales: DataFrame, zones, date_start: str, date_end: str) -> KpiTab | None:
-    """R1 — five results over one filtered, column-pruned scan (cached once when the
-    caller materialises several of them).  An empty zone list means no results (F12)."""
+def kpi_tab(sales: DataFrame, zones, date_start: str, date_end: str, store: str) -> KpiTab | None:
+    """R1 — five results over one filtered, column-pruned window, written to ``store`` once so that
+    the joined fact is read a single time and no cache is left behind.  An empty zone list means
+    no results (F12)."""
     args = kpi.KpiArgs.of(list(zones), date_start, date_end)
     if not args.zones:
         return None
-    f = kpi.kpi_window(sales, args).cache()
+    f = io.load_table(kpi.kpi_window(sales, args), store)
     return KpiTab(kpi.kpi_header(f), kpi.top_products(f), kpi.revenue_by_zone(f), kpi.daily_trend(f), kpi.raw_lines(f))
 
 

@@ -223,6 +223,20 @@ def b5(spark, sf):
     return basket.live_basket(optional_filters(s, zone=_LIVE_ZONE, date_from=_LIVE_FROM, date_to=_LIVE_TO), top_n=8)
 
 
+@register("B5_live_header", with_sales(f"""
+WITH pb AS (SELECT INVOICE_NO AS bill, COUNT(DISTINCT PRODUCT) AS n_items FROM sales
+            WHERE ZONE = '{_LIVE_ZONE}' AND INVOICE_DATE BETWEEN DATE '{_LIVE_FROM}' AND DATE '{_LIVE_TO}' GROUP BY 1)
+SELECT COUNT(*) AS total_bills, COUNT(*) FILTER (WHERE n_items > 1) AS multi_item_bills,
+       {_r('CAST(COUNT(*) FILTER (WHERE n_items > 1) * 100 AS DOUBLE) / COUNT(*)', 1)} AS multi_item_pct,
+       (SELECT COUNT(DISTINCT PRODUCT) FROM sales WHERE ZONE = '{_LIVE_ZONE}'
+        AND INVOICE_DATE BETWEEN DATE '{_LIVE_FROM}' AND DATE '{_LIVE_TO}') AS unique_items
+FROM pb"""))
+def b5_header(spark, sf):
+    s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "PRODUCT_CLASS", *_COLS)
+    live = optional_filters(s, zone=_LIVE_ZONE, date_from=_LIVE_FROM, date_to=_LIVE_TO)
+    return basket.basket_header(basket.bill_items(live, keep_blank=True))
+
+
 @register("B6_live_quadrants", with_sales(_BI + """,
 per_item AS (SELECT item, CAST(SUM(rev) AS DOUBLE) AS rev, CAST(SUM(qty) AS DOUBLE) AS qty FROM bi GROUP BY item),
 th AS (SELECT percentile_disc(0.5) WITHIN GROUP (ORDER BY qty DESC) AS mq,

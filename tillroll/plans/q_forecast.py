@@ -84,11 +84,7 @@ def m2(spark, sf):
 @register("M4_augmented_rows")
 def m4(spark, sf):
     train, _, _ = _inputs(spark, sf)
-    aug = fc.augment(train)
-    return aug.groupBy("zone").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("copy") == 0).alias("originals"),
-        F.min("precipitation_mm").alias("min_rain"), F.round(F.avg("net_revenue"), 2).alias("avg_revenue"),
-    )
+    return fc.augment(train).withColumn("date", day_str("date"))
 
 
 @register("M5_M7_feature_importance")
@@ -136,6 +132,59 @@ def m12(spark, sf):
     return fc.predict_scenarios(model, fc.scenario_grid(zd), holidays, zone_index)
 
 
+# The arithmetic around a prediction, checked on a formula in place of the forest.
+_FORMULA = "10000e0 + 4000e0 * {t} - 700e0 * {r} + 5000e0 * is_weekend + 3000e0 * is_holiday"
+
+
+def _r(expr: str, d: int) -> str:
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,6)), {d}) AS DOUBLE)"
+
+
+_PRESETS = ", ".join(f"({i}, {r}e0, {t}e0)" for i, (r, t) in enumerate(((0, 30), (2, 28), (5, 25), (15, 22), (30, 20))))
+_SCENARIOS = _CTX + "," + _TRAIN_SQL + f""",
+hol AS ({_HOL}),
+rated AS (
+  SELECT zone || '|' || CAST(date AS VARCHAR) || '|' || i AS scenario_id, zone, CAST(date AS VARCHAR) AS date,
+         dayname(date) AS day_of_week, rain_mm, temp_c, CAST(date IN (SELECT hd FROM hol) AS DOUBLE) AS is_holiday,
+         CAST(isodow(date) >= 6 AS DOUBLE) AS is_weekend
+  FROM (SELECT zone, date FROM tr) CROSS JOIN (VALUES {_PRESETS}) p(i, rain_mm, temp_c)),
+scored AS (SELECT *, {_FORMULA.format(t='temp_c', r='rain_mm')} AS pred, {_FORMULA.format(t='28', r='0')} AS base FROM rated),
+report AS (SELECT * EXCLUDE (pred, base), {_r('pred', 0)} AS predicted_revenue, {_r('base', 0)} AS baseline_revenue,
+                  {_r('(pred - base) / base * 100', 1)} AS delta_pct FROM scored)"""
+
+
+def _formula_report(spark, sf):
+    train, holidays, zone_index = _inputs(spark, sf)
+    rows = fc.scenario_features(fc.scenario_grid(train), holidays, zone_index)
+    formula = F.expr(_FORMULA.format(t="avg_temp_c", r="precipitation_mm"))
+    return fc.scenario_report(rows.withColumn("prediction", formula))
+
+
+@register("M11_M12_scenario_arithmetic", with_sales(_SCENARIOS + """
+SELECT *, CASE WHEN delta_pct < -10 THEN 'alert' WHEN delta_pct > 5 THEN 'opportunity' ELSE 'moderate' END AS verdict,
+       CASE WHEN ABS(delta_pct) < 5 THEN 'Low' WHEN ABS(delta_pct) < 15 THEN 'Moderate' ELSE 'High' END AS impact
+FROM report"""))
+def m11_arithmetic(spark, sf):
+    return _formula_report(spark, sf)
+
+
+# share of the day's revenue in each hour from 06:00 on, as the report divides it
+_SHARES = "0.02, 0.04, 0.07, 0.08, 0.09, 0.10, 0.11, 0.09, 0.07, 0.06, 0.06, 0.05, 0.05, 0.04, 0.04, 0.02, 0.01"
+
+
+@register("M13_hourly_arithmetic", with_sales(_SCENARIOS + f""",
+hours AS (SELECT h + 6 AS h, CAST([{_SHARES}][h + 1] AS DOUBLE) AS share FROM range(17) t(h)),
+split AS (
+  SELECT lpad(CAST(h AS VARCHAR), 2, '0') || ':00' AS hour, {_r('baseline_revenue * share', 0)} AS baseline,
+         {_r('predicted_revenue * share * (1e0 - LEAST(rain_mm / 50e0, 1e0) * CASE WHEN h < 10 OR h > 18 THEN 0.3e0 ELSE 0.1e0 END)', 0)} AS predicted
+  FROM report CROSS JOIN hours)
+SELECT hour, COUNT(*) AS scenarios, SUM(baseline) AS baseline, SUM(predicted) AS predicted FROM split GROUP BY hour"""))
+def m13_arithmetic(spark, sf):
+    split = fc.hourly_trend(_formula_report(spark, sf))
+    return split.groupBy("hour").agg(F.count(F.lit(1)).alias("scenarios"), F.sum("baseline").alias("baseline"),
+                                     F.sum("predicted").alias("predicted"))
+
+
 @register("M13_hourly_trend")
 def m13(spark, sf):
     return fc.hourly_trend(_scenario_predictions(spark, sf))

@@ -22,7 +22,7 @@ FROM f"""))
 def r1(spark, sf):
     s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "INVOICE_NO", "NET_AMT", "QTY_PACKS", "TOTAL_VOLUME_BILLED_LTR",
                  "PRODUCT", "CHANNEL", "PRODUCT_CLASS")
-    tab = reports.kpi_tab(s, list(ZONES), D0, D1)
+    tab = reports.kpi_tab(s, list(ZONES), D0, D1, io.scratch_path(spark, "kpi_window"))
     head = tab.kpi.select("total_revenue", "total_orders")
     top = tab.top5.limit(1).select(F.col("item_name").alias("top_product"))
     zone = tab.by_zone.limit(1).select(F.col("outlet_name").alias("top_zone"))
@@ -46,4 +46,4 @@ def r3(spark, sf):
     io.log_notification(digest.select(
         F.lit("morning").alias("timestamp"), "anomaly_count", "outlets_flagged",
         F.col("root_causes").alias("root_cause"), F.lit("LOGGED").alias("email_status"), F.lit("").alias("recipient")), path, 0)
-    return io.notification_history(spark, path, 5).drop("logged_at", "seq")
+    return io.notification_history(spark, path, 5).drop("logged_at")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import day_str
 from tillroll.operators import anomaly, basket, clean
+from tillroll.plans.q_anomaly import _cl_cte
 from tillroll.plans.q_basket import _PAIRS
 from tillroll.plans.q_clean import _VALID, cleaned, read_raw, standardise_sql
 from tillroll.plans.registry import register, sales_of, with_sales
@@ -104,7 +105,18 @@ def s11(spark, sf):
     return back.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("ts").alias("stamped"))
 
 
-@register("S12_alert_history_last5")
+def _digest_sql(batch: int, stamp: str, group: str = "") -> str:
+    return f"""SELECT CAST({batch} AS BIGINT) AS batch, {stamp} AS timestamp, COUNT(*) AS anomaly_count,
+       string_agg(DISTINCT ZONE, ', ' ORDER BY ZONE) AS outlets_flagged,
+       CASE WHEN bool_or(severity = 'CRITICAL') THEN 'CRITICAL' ELSE 'WARNING' END AS label
+FROM cl WHERE severity IS NOT NULL {group}"""
+
+
+@register("S12_alert_history_last5", with_sales(_cl_cte(-1.5) + f""",
+h AS ({_digest_sql(0, "strftime(INVOICE_DATE, '%Y')", "GROUP BY ALL")} UNION ALL {_digest_sql(1, "'all'")})
+SELECT batch, timestamp, anomaly_count, outlets_flagged, LEFT(label || ': ' || outlets_flagged, 200) AS root_cause_summary,
+       'LOGGED' AS email_status, '' AS recipient
+FROM h ORDER BY batch DESC, timestamp DESC LIMIT 5"""))
 def s12(spark, sf):
     an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
     path = io.scratch_path(spark, "notification_history")
@@ -120,7 +132,7 @@ def s12(spark, sf):
     per_year = anomaly.alert_digest(an.withColumn("year", F.substring("date", 1, 4)), by=["year"])
     io.log_notification(rows(per_year, F.col("year")), path, batch=0)
     io.log_notification(rows(anomaly.alert_digest(an), F.lit("all")), path, batch=1)
-    return io.notification_history(spark, path, 5).drop("logged_at", "seq")
+    return io.notification_history(spark, path, 5).drop("logged_at")
 
 
 @register("S13_catalog_report")
@@ -128,4 +140,4 @@ def s13(spark, sf):
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
         from tillroll.sources.tables import read_table
         read_table(spark, sf, name).createOrReplaceTempView(f"tr_{name}")
-    return io.catalog_report(spark).filter(F.col("table").startswith("tr_"))
+    return io.catalog_report(spark, "tr_")

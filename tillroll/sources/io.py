@@ -70,9 +70,13 @@ def load_table(df: DataFrame, path: str) -> DataFrame:
 def write_partitioned(sales_df: DataFrame, path: str, by: str = "year_month",
                       sort_cols: tuple[str, ...] = ("ZONE", "PRODUCT")) -> None:
     """S6 — access path: partition directories by month, rows clustered by outlet and item
-    inside each file so Parquet min/max statistics prune row groups."""
+    inside each file so Parquet min/max statistics prune row groups.
+
+    Rows are dealt by range over month, ``sort_cols`` and a hash of the row, so tasks get equal
+    shares however many rows a month, an outlet or an item holds."""
     out = sales_df.withColumn(by, F.date_format("INVOICE_DATE", "yyyy-MM"))
-    out.repartition(by).sortWithinPartitions(*sort_cols).write.mode("overwrite").partitionBy(by).parquet(path)
+    (out.repartitionByRange(by, *sort_cols, F.xxhash64(*sales_df.columns)).sortWithinPartitions(by, *sort_cols)
+     .write.mode("overwrite").partitionBy(by).parquet(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -97,11 +101,9 @@ def append_trace(payload: DataFrame, path: str) -> None:
 
 
 def log_notification(rows: DataFrame, path: str, batch: int) -> None:
-    """S12 — append alert-history rows (root cause cut to 200 chars) with an append key."""
-    # seq follows the order of ``rows`` within this append (sorted by timestamp text)
-    rows.orderBy("timestamp").coalesce(1).select(
+    """S12 — append alert-history rows (root cause cut to 200 chars) under the append's number."""
+    rows.select(
         F.lit(batch).cast("bigint").alias("batch"),
-        F.monotonically_increasing_id().alias("seq"),
         F.current_timestamp().alias("logged_at"),
         "timestamp", "anomaly_count", "outlets_flagged",
         F.left(F.coalesce("root_cause", F.lit("")), F.lit(200)).alias("root_cause_summary"),
@@ -110,20 +112,23 @@ def log_notification(rows: DataFrame, path: str, batch: int) -> None:
 
 
 def notification_history(spark: SparkSession, path: str, last_n: int = 5) -> DataFrame:
-    """S12 — the last ``last_n`` records in append order (top-k, then re-sorted ascending)."""
-    h = spark.read.parquet(path)
-    return h.orderBy(F.col("batch").desc(), F.col("seq").desc()).limit(last_n).orderBy("batch", "seq")
-
+    """S12 — the last ``last_n`` records in append order, by timestamp text inside an append (top-k,
+    then re-sorted ascending)."""
+    order = ["batch", "timestamp", "outlets_flagged", "root_cause_summary"]
+    return spark.read.parquet(path).orderBy(*[F.col(c).desc() for c in order]).limit(last_n).orderBy(*order)
 
 
 # ── S13 ────────────────────────────────────────────────────────────────────────
-def catalog_report(spark: SparkSession) -> DataFrame:
-    """S13 — registered tables / views with row count and ``name type`` column list.
+def catalog_report(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """S13 — registered tables / views (named ``prefix``…) with row count and ``name type`` column list.
 
-    Metadata comes from the catalog; each count is its own distributed job."""
-    rows = []
+    Metadata comes from the catalog; the counts are one lazy union, so they run side by side."""
+    out = spark.createDataFrame([], "table string, rows bigint, n_columns int, columns string")
     for t in spark.catalog.listTables():
+        if not t.name.startswith(prefix):
+            continue
         cols = spark.catalog.listColumns(t.name)
-        n = spark.table(t.name).count()
-        rows.append((t.name, n, len(cols), ", ".join(f"{c.name} {c.dataType}" for c in cols)))
-    return spark.createDataFrame(rows, "table string, rows bigint, n_columns int, columns string")
+        out = out.unionByName(spark.table(t.name).agg(
+            F.lit(t.name).alias("table"), F.count(F.lit(1)).alias("rows"), F.lit(len(cols)).alias("n_columns"),
+            F.lit(", ".join(f"{c.name} {c.dataType}" for c in cols)).alias("columns")))
+    return out
