@@ -56,8 +56,16 @@ def proactive_brief(sales_days: DataFrame, combos: DataFrame, ctx: DataFrame) ->
     return a.unionByName(b).unionByName(c)
 
 
-def morning_brief(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame) -> DataFrame:
-    """R3 — N4 anomalies → N7 context → per-anomaly cause text → N6 digest with causes.
+def bundle_lines(basket: DataFrame) -> DataFrame:
+    """The live basket's few top pairs (B5) as one line of text, best first."""
+    best = F.struct((-F.col("lift")).alias("l"), (-F.col("co_count")).alias("c"), "item_a", "item_b", "bundle_price")
+    line = lambda p: F.format_string("%s + %s → ₹%.0f", p.item_a, p.item_b, p.bundle_price)
+    return basket.agg(F.array_join(F.transform(F.array_sort(F.collect_list(best)), line), "; ").alias("bundles"))
+
+
+def morning_brief(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame, basket: DataFrame) -> DataFrame:
+    """R3 — N4 anomalies → N7 context → per-anomaly cause text → N6 digest with causes, beside the
+    bundles recommended by the live basket (B5, a top list).
 
     The cause text stands in for the prose step (not built): condition, holiday and the
     news kind of the anomaly's date."""
@@ -68,4 +76,4 @@ def morning_brief(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame) ->
                     F.concat(F.lit("holiday "), F.coalesce("holiday_name", F.lit("none"))),
                     F.concat(F.lit("news "), F.coalesce("news_kind", F.lit("none")))).alias("diagnosis"),
     )
-    return anomaly.alert_digest(anomalies, causes)
+    return anomaly.alert_digest(anomalies, causes).join(bundle_lines(basket), how="inner")

@@ -41,9 +41,11 @@ def r2(spark, sf):
 @register("R3_morning_brief")
 def r3(spark, sf):
     an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
-    digest = reports.morning_brief(an, cf.context_feed(spark, sf), cf.holiday_table(cf.sales_dates(spark, sf)))
+    top = basket.live_basket(sales_of(spark, sf, "INVOICE_NO", "PRODUCT", "NET_AMT", "QTY_PACKS"), top_n=5)
+    brief = reports.morning_brief(an, cf.context_feed(spark, sf), cf.holiday_table(cf.sales_dates(spark, sf)), top)
+    digest = io.load_table(brief, io.scratch_path(spark, "morning_brief"))
     path = io.scratch_path(spark, "morning_brief_history")
     io.log_notification(digest.select(
         F.lit("morning").alias("timestamp"), "anomaly_count", "outlets_flagged",
         F.col("root_causes").alias("root_cause"), F.lit("LOGGED").alias("email_status"), F.lit("").alias("recipient")), path, 0)
-    return io.notification_history(spark, path, 5).drop("logged_at")
+    return io.notification_history(spark, path, 5).drop("logged_at").join(digest.select("bundles"), how="inner")
