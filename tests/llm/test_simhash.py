@@ -42,6 +42,15 @@ def test_fingerprints(odd_rows):
         assert simhash.simhash(text or "") == brute_print(text)
 
 
+def test_every_shingle_votes_in_texts_of_several_chunks(monkeypatch):
+    text = " ".join(f"w{i * i % 7919}" for i in range(65_540))
+    assert simhash.simhash(text) == brute_print(text)
+    monkeypatch.setattr(simhash, "_CHUNK", 2)
+    for n in range(1, 40):
+        text = " ".join(f"w{n * i % 17}" for i in range(n))
+        assert simhash.simhash(text) == brute_print(text)
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_components_against_all_pairs(spark, monkeypatch, crowd):
     monkeypatch.setattr(simhash, "CROWD", crowd)

@@ -52,10 +52,11 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     starts = ends - sizes
     k = min(shingle, len(words))
     n = len(words) - k + 1
-    spans = zip(starts[:n].tolist(), ends[k - 1:].tolist())
+    firsts, lasts = starts[:n], ends[k - 1:]
     hash64, votes = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, _CHUNK):
-        h = np.array([hash64(joined[a:b], 42) for (a, b), _ in zip(spans, range(min(_CHUNK, n - at)))], ">u8")
+        spans = zip(firsts[at:at + _CHUNK].tolist(), lasts[at:at + _CHUNK].tolist())
+        h = np.array([hash64(joined[a:b], 42) for a, b in spans], ">u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big", signed=True)
 
