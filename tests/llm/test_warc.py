@@ -28,6 +28,27 @@ def test_least_and_empty(pages):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_headers_of_any_length(spark):
+    url = "data:text/plain," + "é" * 120_000
+    rows = [(1, url, "x"), (2, "u", "x"), (3, url, "y"), (4, url, "y")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    name = "<urn:page:{}>".format
+    assert sorted((r["kind"], r["record_id"], r["uri"], r["refers_to"]) for r in got if r["refers_to"]) == [
+        ("record", name(1), url, name(2)), ("record", name(3), url, name(4))]
+    assert sorted((r["kind"], r["record_id"], r["uri"], r["payload"]) for r in got if not r["refers_to"]) == [
+        ("record", name(2), "u", b"x"), ("record", name(4), url, b"y")]
+
+
+def test_version_lines_among_headers(tmp_path, pages):
+    data, whole = records(tmp_path, pages)
+    for ahead, end in ((b"x:WARC/1.1\r\n", b""), (b"x:WARC/1.1\r\n", b"\r\n"), (b"x:WARC/1.1\r\n", b"x\r\n"), (b"WARC/1.1\r\n", b"")):
+        junk = b"WARC/1.1\r\n" + ahead * 100_000 + end
+        got = list(warc.salvage(junk + data))
+        assert [g[3] for g in got if g[0] == "record"][-len(whole) + 1:] == [w[3] for w in whole][1:]
+        assert sum(g[0] == "record" for g in got) == len(whole)
+        assert got[0][1] == 0 and got[-1][2] == len(junk + data) and all(a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
 def records(tmp_path, pages):
     warc.write_warc(pages.where("page_id <> 6").coalesce(1), f"file://{tmp_path}/w")
     files = [f.read_bytes() for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]

@@ -6,7 +6,7 @@ Every record is one value of a text file whose line separator is the CRLF that e
 so the archives go through Spark's committer to any store.
 
 The reader takes whole archive files, plain or with one gzip member per record.  A record counts
-only if its version line, headers, length, end mark and digests hold.  After a failed check it
+only if its version line, headers (of any length), length, end mark and digests hold.  After a failed check it
 searches for the next valid member (gzip magic) or version line, goes on there, and logs the bytes
 between as a quarantined gap.
 
@@ -35,7 +35,7 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
 _START = re.compile(_VERSION.pattern + rb"|" + re.escape(_GZIP))
-_NEED = 1 << 16
+_NEED = 1 << 16  # compressed bytes that are taken at once
 
 
 def base32(hexadecimal: Column) -> Column:
@@ -108,24 +108,43 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, int] | str:
-    """(headers with ``payload``, end) of the record at ``at``, or why it is not valid."""
-    if not _VERSION.match(data, at):
+def _header_block(data: bytes, place: int) -> tuple[int, str, dict]:
+    """Where the header lines from ``place`` on stop (at an empty line, or at a line that is none and
+    why it is none), and key -> (place, value) of the last line with each key."""
+    last = {}
+    while (stop := data.find(b"\r\n", place)) != place:
+        if stop < 0:
+            return place, "headers do not end", last
+        if (colon := data.find(b":", place, stop)) < 0:
+            return place, "bad header line", last
+        key, value = data[place:colon], data[colon + 1:stop]
+        last[key.strip().lower().decode("latin-1")] = place, value.strip().decode("utf-8", "replace")
+        place = stop + 2
+    return place, "", last
+
+
+def parse_record(data: bytes, at: int, blocks: list | None = None) -> tuple[dict, int] | str:
+    """(headers with ``payload``, end) of the record at ``at``, or why it is not valid.
+
+    ``blocks`` keeps the latest header block of ``data`` between calls: a version line found inside it
+    has the rest of its lines, so no line is read twice however many version lines it holds."""
+    version = _VERSION.match(data, at)
+    if not version:
         return "no version line"
-    top = data.find(b"\r\n\r\n", at, at + _NEED)
-    if top < 0:
-        return "headers do not end"
-    headers = {}
-    for line in data[at:top].split(b"\r\n")[1:]:
-        key, colon, value = line.partition(b":")
-        if not colon:
-            return "bad header line"
-        headers[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    blocks = [] if blocks is None else blocks
+    if not (blocks and blocks[0][0] <= version.end() <= blocks[0][1][0]):
+        blocks[:] = [(version.end(), _header_block(data, version.end()))]
+    top, reason, last = blocks[0][1]
+    if reason:
+        return reason
+    if any(last.get(key, (-1,))[0] < at for key in ("warc-type", "warc-record-id")):
+        return "no type or id"
+    headers = {key: value for key, (place, value) in last.items() if place > at}
     if not headers.get("warc-type") or not headers.get("warc-record-id"):
         return "no type or id"
     if not headers.get("content-length", "").isdecimal():
         return "bad length"
-    begin = top + 4
+    begin = top + 2
     end = begin + int(headers["content-length"])
     if data[end:end + 4] != b"\r\n\r\n":
         return "no end mark where the length says"
@@ -152,7 +171,7 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
     return (b"".join(out), min(at, len(data)) - len(unzip.unused_data)) if unzip.eof else "member does not end"
 
 
-def _try(data: bytes, at: int):
+def _try(data: bytes, at: int, blocks: list):
     """Records and end of what starts at ``at``, or the reason why nothing valid does."""
     if data.startswith(_GZIP, at):
         member = _member(data, at)
@@ -166,16 +185,16 @@ def _try(data: bytes, at: int):
             records.append(one[0])
             place = one[1]
         return records, member[1]
-    one = parse_record(data, at)
+    one = parse_record(data, at, blocks)
     return one if isinstance(one, str) else ([one[0]], one[1])
 
 
 def salvage(data: bytes):
     """Yield ('record', start, end, headers) and ('gap', start, end, reason) in file order,
     covering every byte once."""
-    at, gap, reason = 0, None, ""
+    at, gap, reason, blocks = 0, None, "", []
     while at < len(data):
-        got = _try(data, at)
+        got = _try(data, at, blocks)
         if isinstance(got, str):
             if gap is None:
                 gap, reason = at, got
