@@ -58,6 +58,29 @@ def test_language_of_odd_and_empty_tables(docs, odd_rows):
     assert langid.fit(docs(odd_rows).limit(0)).langs == [] and langid.predict(docs(odd_rows).limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(docs):
+    langs = {f"l{i:03}": chr(0x4E00 + 40 * i) for i in range(90)}
+    few = [(10 * i + j, "".join(chr(ord(first) + (j + 3 * k) % 20) for k in range(40)), lang, "s")
+           for i, (lang, first) in enumerate(langs.items()) for j in range(8)]
+    many = [(10_000 + i, f"plain english text number {i}", "en", "s") for i in range(300)]
+    model = langid.fit(docs(few + many + [(20_000, "text", None, "s")]))
+    assert model.langs == sorted([*langs, "en"]) and isinstance(model, langid.Panel)
+    assert all(r["lang_pred"] == r["__row"]["lang"] for r in langid.predict(docs(few + many), model).collect())
+
+
+def test_groups_of_languages_cost_the_same():
+    random.seed(2)
+    samples = {f"l{i}": [bytes(random.choices(range(97 + i, 110 + i), k=300))] for i in range(9)}
+    whole = langid.Ppm(samples)
+    parts = [langid.Ppm({k: samples[k] for k in whole.langs[i:i + 4]}) for i in (0, 4, 8)]
+    for text in (b"", b"abcxyz", bytes(random.choices(range(95, 125), k=200))):
+        assert np.allclose(langid.Panel(parts).bits(text), whole.bits(text))
+    sizes = {f"l{i:05}": 1 + i % 7 * 300 for i in range(500)}
+    parted = langid.groups(sizes)
+    assert [lang for part in parted for lang in part] == sorted(sizes)
+    assert all(len(p) * sum(min(langid.DOCS, sizes[x]) for x in p) <= langid.TABLE for p in parted)
+
+
 def test_held_out_language_accuracy(spark):
     got = queries.QUERIES["op5_language_id"](spark, SF)
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

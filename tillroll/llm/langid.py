@@ -11,7 +11,8 @@ Costs are tabled for every context and symbol that any language has seen, so a t
 by array lookups; what no language has seen falls through to the escape tables.
 
 Training sample: at most ``DOCS`` pieces of ``PIECE`` code points per language, one from each
-document drawn by hash, for the ``LANGS`` most frequent languages (the model's documented bound).
+document drawn by hash, for every language of the training folds.  Languages are counted in groups
+(``TABLE``), each with tables of its own, so the model grows with the languages and not their square.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything when
 nothing was learned; equal code lengths go to the language first in order; repeated rows are
@@ -25,9 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.llm.common import document_text, field, fold_of, on_workers, packed
+from tillroll.llm.common import document_text, field, fold_of, on_workers, packed, staged
 
-DOCS, PIECE, LANGS = 256, 8192, 64
+DOCS, PIECE = 256, 8192
+#: pieces times languages that share tables at most
+TABLE = 1 << 14
 FOLDS, HELD = 4, 2
 #: bytes of text whose code lengths are weighed at most when two languages are compared for the score
 EVIDENCE = 64
@@ -108,6 +111,29 @@ class Ppm:
         return self.langs[best], float(1 / odds.sum())
 
 
+class Panel(Ppm):
+    """Models of several groups of languages side by side."""
+
+    def __init__(self, parts: list[Ppm]):
+        self.parts, self.langs = parts, [lang for part in parts for lang in part.langs]
+
+    def bits(self, data: bytes) -> np.ndarray:
+        return np.concatenate([part.bits(data) for part in self.parts])
+
+
+def groups(sizes: dict[str, int]) -> list[list[str]]:
+    """Languages in order, parted so that pieces times languages stay within ``TABLE``."""
+    found, pieces = [[]], 0
+    for lang in sorted(sizes):
+        more = min(DOCS, sizes[lang])
+        if found[-1] and (pieces + more) * (len(found[-1]) + 1) > TABLE:
+            found.append([])
+            pieces = 0
+        found[-1].append(lang)
+        pieces += more
+    return found
+
+
 def held_out(doc_id: Column) -> Column:
     return fold_of(doc_id, FOLDS) == HELD
 
@@ -118,7 +144,7 @@ def fit(docs: DataFrame) -> Ppm:
     train = (packed(docs).select(field("doc_id").alias("doc_id"), field("lang").cast("string").alias("lang"),
                                  document_text().alias("text"))
              .where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
-    sizes = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    sizes = train.groupBy("lang").count().collect()
     if not sizes:
         return Ppm({})
     shares = spark.createDataFrame([(r["lang"], min(1.0, 4 * DOCS / r["count"])) for r in sizes], "lang string, share double")
@@ -129,9 +155,17 @@ def fit(docs: DataFrame) -> Ppm:
     piece = F.substring("text", (F.pmod(F.xxhash64("draw"), room) + 1).cast("int"), F.lit(PIECE))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
     rows = (drawn.select("lang", "draw", "doc_id", piece.alias("piece")).withColumn("place", place)
-            .where(F.col("place") <= DOCS).select("lang", "piece").collect())
+            .where(F.col("place") <= DOCS).select("lang", "piece"))
+    parted = groups({r["lang"]: r["count"] for r in sizes})
+    if len(parted) == 1:
+        return _count(rows)
+    rows = staged(rows, "language-samples")
+    return Panel([_count(rows.where(F.col("lang").isin(part))) for part in parted])
+
+
+def _count(rows: DataFrame) -> Ppm:
     samples: dict[str, list[bytes]] = {}
-    for r in rows:
+    for r in rows.collect():
         samples.setdefault(r["lang"], []).append(r["piece"].encode())
     return Ppm(samples)
 
