@@ -107,6 +107,31 @@ def test_toxicity_of_odd_tables(spark, docs, odd_rows):
     assert toxicity.score(docs(odd_rows).limit(0), toxicity.fit(docs(odd_rows).limit(0), labels.limit(0))).count() == 0
 
 
+def test_rare_toxic_words_beside_a_rich_vocabulary(spark, docs):
+    random.seed(4)
+    word = lambda letters, n: "".join(random.choices(letters, k=n))
+    often, rare = list({word("bcdfghjklmpqr", 10) for _ in range(3500)}), ["zazazu", "zezezo", "zizizi"]
+    fine = [word("nostuvwxy", 5) for _ in range(500)]
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    bad = [" ".join(random.sample(often + rare * (i < 7), len(often) + len(rare) * (i < 7))) for i in range(9)]
+    good = [" ".join(random.choices(fine, k=2000)) for _ in range(90)]
+    rows = list(zip(ids, bad + good))
+    labels = spark.createDataFrame([(i, int(n < len(bad))) for n, (i, _) in enumerate(rows)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs(rows), labels)
+    assert [w for w in often + rare if not lexicon.weigh(w)] == []
+    assert not any(lexicon.weigh(w) for w in fine)
+    assert len(toxicity._choose([(f" {i:06}", 50, 0) for i in range(7000)], 350_000, 3_500_000, 7000)) == 7000
+
+
+def test_ratio_as_a_column(spark):
+    pairs = [(4, 0), (7, 3), (50, 1), (1000, 20), (5, 900)]
+    rows = spark.createDataFrame(pairs, "t long, c long").select(toxicity._ratio(2000, 9000), toxicity._ratio(2000, 0)).collect()
+    rate = 2000 / 11000
+    for (t, c), (ratio, alone) in zip(pairs, rows):
+        want = 2 * (t * math.log(t / ((t + c) * rate)) + (c * math.log(c / ((t + c) * (1 - rate))) if c else 0))
+        assert math.isclose(ratio, want, rel_tol=1e-9) and (c or alone == 0)
+
+
 def test_held_out_toxicity(spark):
     got = {r["doc_id"]: r for r in queries.QUERIES["op9_toxicity"](spark, SF).collect()}
     labels = [r for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]

@@ -9,7 +9,8 @@ over hit words, normalised by the logarithm of its length in words, and its scor
 Learning uses a bounded sample of labelled rows outside the held-out fold: at most ``TOXIC`` toxic
 and ``CLEAN`` clean documents, whole texts.  Stems enter by the distinct contexts (word with both
 neighbours, so that copies count once) that they have in toxic and in clean texts: the log-likelihood
-ratio must be beyond chance, and the weight is the log odds.
+ratio must be beyond chance, and the weight is the log odds.  Of stems with at least ``LEAST`` toxic
+contexts every one that passes enters; their number is bounded by the sample alone.
 
 Defined results: null and empty texts score 0; null labels or ids are not learned from; a document
 labelled twice counts with its larger label; without toxic labels the seed lexicon decides alone;
@@ -31,7 +32,7 @@ FOLDS, HELD = 5, 0
 TOXIC, CLEAN = 2000, 6000
 STEM = (3, 10)
 ODDS = 2.0
-LEXICON = 5000
+LEAST = 4
 
 # General insults that hold before any label is seen, with their weight.
 SEEDS = ("asshole bastard bitch dumbass idiot imbecile jerk loser moron pathetic retard scum stupid worthless").split()
@@ -131,6 +132,18 @@ def _contexts(batches):
                                           pa.array(toxic, pa.int32())], ["word", "context", "toxic"])
 
 
+def _beyond(kinds: int) -> float:
+    """The log-likelihood ratio that chance alone hardly reaches among ``kinds`` features."""
+    return 2 * (math.log(max(kinds, 2)) + 1)
+
+
+def _ratio(toxic: int, clean: int) -> Column:
+    """Log-likelihood ratio of a feature with ``t`` toxic and ``c`` clean contexts out of all."""
+    t, c, rate = F.col("t").cast("double"), F.col("c").cast("double"), toxic / (toxic + clean)
+    rest = F.when(c > 0, c * (F.log(c) - F.log(t + c) - F.lit(math.log1p(-rate) if clean else 0.0))).otherwise(0.0)
+    return 2 * (t * (F.log(t) - F.log(t + c) - F.lit(math.log(rate))) + rest)
+
+
 def _choose(features: list, toxic: int, clean: int, kinds: int) -> dict[str, float]:
     """Entries from (feature, n_toxic, n_clean) by log-likelihood ratio: the strongest form of each
     stem, if it is beyond chance among ``kinds`` features and at least ``ODDS`` in its log odds."""
@@ -138,14 +151,15 @@ def _choose(features: list, toxic: int, clean: int, kinds: int) -> dict[str, flo
     for f, t, c in features:
         odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
         ratio = 2 * (t * math.log(t / ((t + c) * rate)) + (c * math.log(c / ((t + c) * (1 - rate))) if c else 0))
-        if odds >= ODDS and ratio >= 2 * (math.log(max(kinds, 2)) + 1):
+        if odds >= ODDS and ratio >= _beyond(kinds):
             strong.append((-round(ratio, 6), f.endswith(" "), -len(f), f, odds))
     kept: dict[str, float] = {}
-    below: set[str] = set()  # beginnings of what is kept
+    below: set[str] = set()  # beginnings of what is kept, as long as a stem can be
     for *_, f, odds in sorted(strong):
-        if len(kept) < LEXICON and f not in below and not any(f[:n] in kept for n in range(1, len(f) + 1)):
+        begins = {f[:n] for n in range(1, STEM[1] + 2)}
+        if f not in below and begins.isdisjoint(kept):
             kept[f] = odds
-            below.update(f[:n] for n in range(1, len(f) + 1))
+            below |= begins
     return kept
 
 
@@ -176,9 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     size = words.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n")).first()
     if not size["t"]:
         return Lexicon(SEEDED)
-    found = (features.where((F.col("t") >= 4) & (F.col("t") * size["c"] >= math.exp(ODDS) * F.col("c") * size["t"]))
-             .orderBy(F.desc("t"), "f").limit(4 * LEXICON).collect())
-    learned = _choose([tuple(r) for r in found], size["t"], size["c"] or 0, 6 * size["n"])
+    toxic, clean, kinds = size["t"], size["c"], 6 * size["n"]
+    found = (features.where((F.col("t") >= LEAST) & (F.col("t") * clean >= math.exp(ODDS) * F.col("c") * toxic))
+             .where(_ratio(toxic, clean) >= _beyond(kinds) - 1e-3).collect())  # decided by _choose
+    learned = _choose([tuple(r) for r in found], toxic, clean, kinds)
     lexicon = Lexicon(SEEDED | learned)
     shared = spark.sparkContext.broadcast(lexicon)
 
