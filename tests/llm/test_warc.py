@@ -79,3 +79,22 @@ def test_salvage_of_members(tmp_path, pages):
     assert [g[3] for g in got if g[0] == "record"] == [w[3] for i, w in enumerate(whole) if i != 1]
     gap = next(g for g in got if g[0] == "gap")
     assert (gap[1], gap[2]) == (len(members[0]), len(members[0]) + len(members[1]))
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_salvage_inside_a_member(tmp_path, pages, level):
+    data, whole = records(tmp_path, pages)
+    at = whole[2][2] - 6
+    broken = data[:at] + b"~" + data[at + 1:]
+    sound = [w[3] for i, w in enumerate(whole) if i != 2]
+    member = gzip.compress(broken, level)
+    got = list(warc.salvage(b"junk" + member + data))
+    assert [g[3] for g in got if g[0] == "record"] == sound + [w[3] for w in whole]
+    assert [g[1:3] for g in got if g[0] == "gap"] == [(0, 4), (4, 4 + len(member))]
+    assert f"bytes {whole[2][1]} to {whole[2][2]} of its content" in [g[3] for g in got if g[0] == "gap"][1]
+    for bad in (member[:-4], member[:-8] + b"\0" * 8, gzip.compress(data + b"x", level)[:-9]):
+        want = sound if bad[:-8] == member[:-8] or bad == member[:-4] else [w[3] for w in whole]
+        got = list(warc.salvage(bad + gzip.compress(data)))
+        found = [g[3] for g in got if g[0] == "record"]
+        assert found[-len(whole):] == [w[3] for w in whole] and found[:-len(whole)] == want
+        assert got[0][1] == 0 and got[-1][2] == len(bad) + len(gzip.compress(data))

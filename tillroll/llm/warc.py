@@ -5,10 +5,11 @@ The writer makes one record per row: a ``response`` for the largest id of each p
 Every record is one value of a text file whose line separator is the CRLF that ends a record,
 so the archives go through Spark's committer to any store.
 
-The reader takes whole archive files, plain or with one gzip member per record.  A record counts
+The reader takes whole archive files, plain or in gzip members of any number of records.  A record counts
 only if its version line, headers (of any length), length, end mark and digests hold.  After a failed check it
 searches for the next valid member (gzip magic) or version line, goes on there, and logs the bytes
-between as a quarantined gap.
+between as a quarantined gap; inside a member, also on what one that fails yields before, it searches
+the content.
 
 Defined results: null payloads are empty; null ids are written as ``null`` and read back null; rows that
 share the winning id and payload are all responses; control characters in urls are percent-encoded
@@ -159,54 +160,88 @@ def parse_record(data: bytes, at: int, blocks: list | None = None) -> tuple[dict
     return headers, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The content and end of the gzip member at ``at``, checked by its CRC and length."""
-    unzip, out = zlib.decompressobj(31), []
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``at``; of one that fails its CRC or length, or does not
+    end, what it yields before, how far it was read, and why it fails."""
+    unzip, out, place = zlib.decompressobj(31), [], at
     try:
-        while at < len(data) and not unzip.eof:
-            out.append(unzip.decompress(data[at:at + _NEED]))
-            at += _NEED
+        while place < len(data) and not unzip.eof:
+            out.append(unzip.decompress(data[place:place + _NEED]))
+            place += _NEED
     except zlib.error as e:
-        return f"bad member: {e}"
-    return (b"".join(out), min(at, len(data)) - len(unzip.unused_data)) if unzip.eof else "member does not end"
+        unzip = zlib.decompressobj(31)  # again, and the last bytes one by one
+        out = [unzip.decompress(data[at:place])]
+        try:
+            for i in range(place, place + _NEED):
+                out.append(unzip.decompress(data[i:i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), min(place + _NEED, len(data)), f"bad member: {e}"
+    end = min(place, len(data)) - len(unzip.unused_data)
+    return b"".join(out), end, "" if unzip.eof else "member does not end"
+
+
+def _inside(content: bytes):
+    """('record', headers) and ('gap', reason with its range) of a member's content in order."""
+    at, gap, reason, blocks = 0, None, "", []
+    while at < len(content):
+        one = parse_record(content, at, blocks)
+        if isinstance(one, str):
+            if gap is None:
+                gap, reason = at, one
+            ahead = _VERSION.search(content, at + 1)
+            at = ahead.start() if ahead else len(content)
+            continue
+        if gap is not None:
+            yield "gap", f"{reason}, in member, bytes {gap} to {at} of its content"
+            gap = None
+        yield "record", one[0]
+        at = one[1]
+    if gap is not None:
+        yield "gap", f"{reason}, in member, bytes {gap} to {at} of its content"
 
 
-def _try(data: bytes, at: int, blocks: list):
-    """Records and end of what starts at ``at``, or the reason why nothing valid does."""
+def _try(data: bytes, at: int, blocks: list) -> tuple[list, int, str]:
+    """What starts at ``at`` (see ``_inside``), its end, and, if it is not valid, the reason."""
     if data.startswith(_GZIP, at):
-        member = _member(data, at)
-        if isinstance(member, str):
-            return member
-        records, place = [], 0
-        while place < len(member[0]):
-            one = parse_record(member[0], place)
-            if isinstance(one, str):
-                return f"{one}, in member"
-            records.append(one[0])
-            place = one[1]
-        return records, member[1]
+        content, end, reason = _member(data, at)
+        found = list(_inside(content))
+        if reason:
+            return [x for x in found if x[0] == "record"], end, reason
+        return found, end, "" if not found or any(x[0] == "record" for x in found) else found[0][1]
     one = parse_record(data, at, blocks)
-    return one if isinstance(one, str) else ([one[0]], one[1])
+    return ([], at, one) if isinstance(one, str) else ([("record", one[0])], one[1], "")
 
 
 def salvage(data: bytes):
     """Yield ('record', start, end, headers) and ('gap', start, end, reason) in file order,
-    covering every byte once."""
+    covering every byte once.  What a member holds has the range of the member; the records of a
+    member that fails end where they start, as its bytes are a gap: their digests hold, but nothing
+    vouches for their headers any more, as in a plain archive."""
     at, gap, reason, blocks = 0, None, "", []
+    told, reach = [], 0  # records of a member that failed; stored ones are met again in its bytes
     while at < len(data):
-        got = _try(data, at, blocks)
-        if isinstance(got, str):
+        found, end, why = _try(data, at, blocks)
+        if at < reach and not data.startswith(_GZIP, at) and found and found[0] in told:
+            at = end
+            continue
+        records = [x for x in found if x[0] == "record"]
+        if gap is not None and (records or not why):
+            yield "gap", gap, at, reason
+            gap = None
+        if why:
+            for kind, what in records:
+                yield kind, at, at, what
+            if records:
+                told, reach = records, end
             if gap is None:
-                gap, reason = at, got
+                gap, reason = at, why
             ahead = _START.search(data, at + 1)
             at = ahead.start() if ahead else len(data)
             continue
-        if gap is not None:
-            yield "gap", gap, at, reason
-            gap = None
-        for headers in got[0]:
-            yield "record", at, got[1], headers
-        at = got[1]
+        for kind, what in found:
+            yield kind, at, end, what
+        at = end
     if gap is not None:
         yield "gap", gap, len(data), reason
 
