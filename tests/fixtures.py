@@ -1,7 +1,10 @@
-"""Tiny canonical-sales frames built from the reference's own test fixtures."""
+"""Paths of the given tables, and tiny canonical-sales frames."""
 
 from decimal import Decimal
 
+SF_SMALL = "/root/testdata/sf0.001"
+SF_MID = "/root/testdata/sf0.01"
+
 SALES_SCHEMA = (
     "ZONE string, INVOICE_DATE date, INVOICE_NO bigint, NET_AMT decimal(18,4), PRODUCT string, "
     "QTY_PACKS decimal(10,2), TOTAL_VOLUME_BILLED_LTR decimal(20,2), BASIC_RATE decimal(10,2), PRODUCT_CLASS string"

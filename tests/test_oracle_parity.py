@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from fixtures import SF_SMALL
 from tools.oracle_check import TABLES, canon
 
 ORACLES = entry.oracle_sql()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from fixtures import SF_MID
 from tillroll.operators import basket, kpi
 from tillroll.sources.tables import sales
 

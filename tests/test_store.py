@@ -1,6 +1,6 @@
 """Operators give the same results on the materialised, month-partitioned fact."""
 
-from conftest import SF_MID
+from fixtures import SF_MID
 from tillroll.operators import anomaly, kpi
 from tillroll.sources import io
 from tillroll.sources.tables import sales, stored_sales

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from fixtures import SF_MID
 from fixtures import sales_df
 from tillroll.operators import audit, basket, clean, context as cx, forecast
 from tillroll.sources import context_feed as cf, io
