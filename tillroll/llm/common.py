@@ -68,6 +68,19 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts
 
 
+def with_group_sum(rows: DataFrame, key: str, value: str, name: str, parts: int = 1000) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` over equal ``key`` (nulls together; null where it
+    passes 64 bits).  Keys of more than ``1 / parts`` of the rows, fewer than ``parts``, get theirs by
+    a broadcast; only the rest is shuffled."""
+    sums = staged(rows.groupBy(F.col(key).alias("k")).agg(F.try_sum(value).alias(name), F.count("*").alias("of")),
+                  "group-sums")
+    total = sums.agg(F.sum("of")).first()[0] or 0
+    hot, cool = (sums.where(F.col("of") * parts > total), sums.where(F.col("of") * parts <= total))
+    near = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("k")), "left")
+    far = near.where("of IS NULL").drop("k", name, "of").join(cool, F.col(key).eqNullSafe(F.col("k")))
+    return near.where("of IS NOT NULL").drop("k", "of").unionByName(far.drop("k", "of"))
+
+
 class Memo(dict):
     """Bounded memo of ``make``: when full, the older half goes."""
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, chat, exactdedup, fingerprint, langid, linededup, packing, simhash, toxicity, warc
-from tillroll.llm.common import field
+from tillroll.llm import bpe, chat, exactdedup, fingerprint, langid, linededup, packing, simhash, toxicity, vectorcode, warc
+from tillroll.llm.common import field, with_group_sum
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,48 @@ WITH folded AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM folded WINDOW g AS (PARTITION BY text_sha256)"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcode.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    rows = coded.select(field("vec_id").alias("vec_id"), field("label").alias("label"), hex_of("code").alias("code"),
+                        "error")
+    return with_group_sum(rows, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds as a chain of tables: codebook ``b``, assignment ``a``, codebook, ... assignment."""
+    steps = [f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM (
+    SELECT vec_id, label, r.p, r.x, e,
+      list_sum([(r.x[i] - b.x[i]) * (r.x[i] - b.x[i]) FOR i IN range(1, len(r.x) + 1)]) AS d
+    FROM parts r JOIN b{i} b ON r.p = b.p) GROUP BY vec_id, label, p, x),""" + (f"""
+m{i} AS (
+  SELECT p, e, list((s - ((s % n + n) % n)) // n ORDER BY j) AS x FROM (
+    SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM a{i}, unnest(range(1, len(x) + 1)) t(j) GROUP BY p, e, j)
+  GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.e = m.e),"""
+             if i < rounds else "") for i in range(rounds + 1)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [floor(1024 * c::DOUBLE)::BIGINT FOR c IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) t(p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts QUALIFY e < 256),
+{"".join(steps)}
+books AS (
+  SELECT sha256(string_agg(x[j]::VARCHAR, ',' ORDER BY p, e, j)) AS h FROM b{rounds}, unnest(range(1, len(x) + 1)) t(j)),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e::BIGINT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded, books"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
