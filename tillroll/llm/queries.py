@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, chat, exactdedup, fingerprint, langid, linededup, packing, simhash, toxicity, vectorcode, warc
+from tillroll.llm import (bpe, chat, exactdedup, fingerprint, langid, linededup, mixture, packing, simhash, toxicity,
+                          vectorcode, warc)
 from tillroll.llm.common import field, with_group_sum
 
 QUERIES: dict = {}
@@ -163,6 +164,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM folded WINDOW g AS (PARTITION BY text_sha256)"""
 
 
+@query
+def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    return mixed.select(field("doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
 @query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vectorcode.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
