@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import (bpe, chat, exactdedup, fingerprint, langid, linededup, mixture, packing, simhash, toxicity,
-                          vectorcode, warc)
+from tillroll.llm import (bpe, chat, exactdedup, fingerprint, langid, lexical, linededup, mixture, packing, simhash,
+                          toxicity, vectorcode, warc)
 from tillroll.llm.common import field, with_group_sum
 
 QUERIES: dict = {}
@@ -213,3 +213,33 @@ FROM coded, books"""
 
 
 ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["item_id"])
+    return ranked.select(field("item_id").alias("item_id"), "rank", "doc_id", "score")
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH docs AS MATERIALIZED (
+  SELECT uid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS uid, doc_id, text FROM documents)),
+items AS (
+  SELECT DISTINCT uid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS uid, item_id, text FROM benchmark)),
+tfs AS MATERIALIZED (SELECT uid, doc_id, term, count(*)::BIGINT AS tf FROM docs GROUP BY uid, doc_id, term),
+whole AS (SELECT count(DISTINCT uid)::BIGINT AS n_docs, count(*)::BIGINT AS n_terms FROM docs),
+lengths AS (
+  SELECT uid, 10 + (90 * sum(tf)::BIGINT * n_docs) // n_terms AS m FROM tfs, whole GROUP BY uid, n_docs, n_terms),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tfs, whole GROUP BY term, n_docs),
+scored AS (
+  SELECT i.uid, i.item_id, t.uid AS doc, t.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items i JOIN tfs t USING (term) JOIN weights USING (term) JOIN lengths l ON l.uid = t.uid
+  GROUP BY i.uid, i.item_id, t.uid, t.doc_id HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY uid ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10"""
