@@ -9,20 +9,20 @@ plan keeps that bounded per task:
    columns, so one huge bill is spread over many tasks);
 2. items that cannot reach the support threshold are removed before pairing (an exact
    Apriori cut: a pair's co-count never exceeds either item's support);
-3. bills with one item are dropped (they form no pair);
-4. each bill is cut into ``ceil(k / block)`` item blocks by a hash of the item, and the
-   self-join runs on ``(bill, block_i, block_j)``: a bill of k items becomes
+3. bills with one item form no pair in the join below;
+4. a bill of more than ``block`` items is cut into ``ceil(k / block)`` item blocks by a hash of
+   the item, and the self-join runs on ``(bill, block_i, block_j)``: a bill of k items becomes
    (k/block)² independent joins of at most block × block rows, so a hot bill holding a
-   third of all lines is split across tasks instead of landing in one;
+   third of all lines is split across tasks instead of landing in one; the number of blocks
+   reaches the lines by a join on ``(bill, slice)``, ``SLICES`` rows for each such bill;
 5. pair rows go straight into a partially aggregated ``groupBy(a, b).count()``, so the
    shuffle carries at most one row per distinct pair per task.
 
 The item counts per bill come from a ``groupBy`` (partial aggregation), not a window, so a
 hot bill never has to sit in a single task.
 
-Thresholds (W6 upper median) are one-row aggregates joined back as scalars, never
-collected to the driver.  ``percentile_disc`` buffers one value per *item* (catalogue
-size), not per sales line.
+Thresholds (W6 upper median) come from range-dealt value counts (``ranks``).  The item frames they are
+taken from are written once, so the fact is read once for thresholds and rows alike.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import fdiv, label_before_paren, non_empty, rnd
+from tillroll.operators.ranks import upper_medians
+from tillroll.sources.io import staged
 
 # ── Fixed values: quadrant names, icons, actions, colours ─────────────────────
 QUADRANTS = {
@@ -42,6 +44,7 @@ QUADRANTS = {
 }
 BUNDLE_DISCOUNT = 0.85
 PAIR_BLOCK = 512
+SLICES = 64
 
 
 # ── A26 / A25 / A27 / B1 ───────────────────────────────────────────────────────
@@ -96,13 +99,12 @@ def basket_header(bi: DataFrame) -> DataFrame:
 # ── J2: co-occurrence ──────────────────────────────────────────────────────────
 def pair_counts(bi: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """J2 — (item_a < item_b, co) over distinct (bill, item) rows, hot bills split in blocks."""
-    d = bi.select("bill", "item").distinct()
-    k = d.groupBy("bill").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= 2)
-    nblk = F.ceil(F.col("k") / F.lit(block)).cast("int")
-    d = d.join(k, "bill").select(
-        "bill", "item", nblk.alias("nb"),
-        F.pmod(F.xxhash64("item"), nblk).cast("int").alias("blk"),
-    )
+    d = bi.select("bill", "item").distinct().withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(SLICES)))
+    large = d.groupBy("bill").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > block)
+    large = large.select("bill", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("n"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLICES - 1).cast("long"))).alias("slice"))
+    d = d.join(large, ["bill", "slice"], "left").withColumn("nb", F.coalesce("n", F.lit(1)))
+    d = d.select("bill", "item", "nb", F.pmod(F.xxhash64(F.lit(1), "item"), F.col("nb")).cast("int").alias("blk"))
     left = d.select("bill", F.col("blk").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bj"), F.col("item").alias("a"))
     right = d.select("bill", F.col("blk").alias("bj"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bi"), F.col("item").alias("b"))
     pairs = left.join(right, ["bill", "bi", "bj"]).filter(F.col("a") < F.col("b"))
@@ -137,8 +139,8 @@ def affinity_pairs(bi: DataFrame, min_support: int = 3, top_n: int | None = 30)
 
 # ── W6 / B3 / B8 ───────────────────────────────────────────────────────────────
 def upper_median(df: DataFrame, col: str, alias: str) -> DataFrame:
-    """W6 — ``sorted(x)[len(x)//2]`` as a one-row frame (percentile_disc over x DESC)."""
-    return df.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)").alias(alias))
+    """W6 — ``sorted(x)[len(x)//2]`` as a one-row frame."""
+    return upper_medians(df, {alias: col})
 
 
 def _quadrant(high_pop: Column, high_val: Column) -> tuple[Column, Column, Column, Column]:
@@ -164,10 +166,11 @@ def menu_matrix(sales: DataFrame, min_qty: float = 2) -> DataFrame:
         F.col("qty").cast("double").alias("total_qty"),
         rnd(F.coalesce("price", F.lit(0.0)), 2).alias("avg_price"),
     ).filter(F.col("total_qty") >= min_qty)
-    th = upper_median(items, "total_qty", "med_qty").join(upper_median(items, "avg_price", "med_price"), how="inner")
-    q, icon, action, color = _quadrant(F.col("total_qty") >= F.col("med_qty"), F.col("avg_price") >= F.col("med_price"))
+    items = staged(items, "menu-items")
+    half = upper_medians(items, {"qty": "total_qty", "price": "avg_price"}).first()
+    q, icon, action, color = _quadrant(F.col("total_qty") >= F.lit(half["qty"]), F.col("avg_price") >= F.lit(half["price"]))
     return (
-        items.join(th, how="inner")
+        items
         .select("item_name", "total_revenue", "total_qty", "avg_price",
                 q.alias("quadrant"), icon.alias("icon"), action.alias("action"), color.alias("color"))
         .orderBy(F.col("total_revenue").desc(), "item_name")
@@ -232,11 +235,48 @@ def combo_recommendations(
 
 
 # ── B5 / B6 / B7 ───────────────────────────────────────────────────────────────
+def _live_quadrant(per_item: DataFrame) -> Column:
+    half = upper_medians(per_item, {"qty": "qty", "rev": "rev"}).first()
+    return _quadrant(F.col("qty") >= F.lit(half["qty"]), F.col("rev") >= F.lit(half["rev"]))[0]
+
+
 def live_quadrants(per_item: DataFrame) -> DataFrame:
     """B6 — quadrant by upper medians of quantity and of revenue over all items."""
-    th = upper_median(per_item, "qty", "med_qty").join(upper_median(per_item, "rev", "med_rev"), how="inner")
-    q, _, _, _ = _quadrant(F.col("qty") >= F.col("med_qty"), F.col("rev") >= F.col("med_rev"))
-    return per_item.join(th, how="inner").select("item", q.alias("quadrant"))
+    per_item = staged(per_item, "live-items")
+    return per_item.select("item", _live_quadrant(per_item).alias("quadrant"))
+
+
+def _live_pairs(lines: DataFrame, items: DataFrame, total: int, top_n: int, most: float | None = None) -> DataFrame:
+    """The ``top_n`` pairs of ``items`` (item, avg, bills, quadrant) that are in at most ``most`` bills."""
+    some = items if most is None else items.filter(F.col("bills") <= F.lit(most))
+    co = pair_counts(lines.join(some.select("item"), "item", "left_semi"))
+    a = some.select(F.col("item").alias("a"), F.col("avg").alias("avg_a"), F.col("bills").alias("ca"), F.col("quadrant").alias("quad_a"))
+    b = some.select(F.col("item").alias("b"), F.col("avg").alias("avg_b"), F.col("bills").alias("cb"), F.col("quadrant").alias("quad_b"))
+    t = F.lit(total)
+    sup_ab = F.col("co").cast("double") / t
+    conf = sup_ab / (F.col("ca").cast("double") / t)
+    lift = conf / (F.col("cb").cast("double") / t)
+    ra, rb = rnd(F.col("avg_a"), 0), rnd(F.col("avg_b"), 0)
+    out = co.join(a, "a").join(b, "b").select(
+        F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("co").alias("co_count"),
+        rnd(lift, 2).alias("lift"), rnd(sup_ab * 100, 2).alias("support_pct"), rnd(conf * 100, 1).alias("conf_pct"),
+        ra.alias("avg_a"), rb.alias("avg_b"), "quad_a", "quad_b",
+        rnd((ra + rb) * BUNDLE_DISCOUNT, 0).alias("bundle_price"),  # B7
+    )
+    return out.orderBy(F.col("lift").desc(), F.col("co_count").desc(), "item_a", "item_b").limit(top_n)
+
+
+def live_limit(lines: DataFrame, items: DataFrame, total: int, top_n: int, share: float = 0.25) -> float | None:
+    """Bills beyond which an item can be in no pair of the ``top_n``, or None.
+
+    A pair's lift is at most ``total / max(bills of a, bills of b)``, as it can't be in more bills than
+    the rarer item.  The pairs of the rarest ``share`` of the items, few rows, give a k-th best
+    lift (rounded to 2 digits), which the final one can only exceed."""
+    rare = items.agg(F.percentile_approx("bills", share)).first()[0]
+    if rare is None:
+        return None
+    kth, n = _live_pairs(lines, items, total, top_n, rare).agg(F.min("lift"), F.count(F.lit(1))).first()
+    return total / (kth - 0.005) * (1 + 1e-9) if n == top_n and kth > 0.005 else None
 
 
 def live_basket(filtered_sales: DataFrame, top_n: int = 8) -> DataFrame:
@@ -245,36 +285,20 @@ def live_basket(filtered_sales: DataFrame, top_n: int = 8) -> DataFrame:
     No minimum co-count; both items need qty ≥ 2 and average revenue per unit ≥ 10 (those
     item-level cuts are applied before pairing, which is exact).  Needs ≥ 2 bills.
     Support % 2dp, confidence % 1dp, lift 2dp; ordered by lift descending.
+
+    The (bill, item) lines and the item frame are written once.  Items in too many bills for a lift
+    among the best (``live_limit``) are left out before pairing, also exact.
     """
-    bi = bill_items(filtered_sales, keep_blank=True)  # bills of blank products count as bills
-    per_item = bi.groupBy("item").agg(
+    lines = staged(bill_items(filtered_sales, keep_blank=True), "live-lines")  # bills of blank products count as bills
+    per_item = staged(lines.groupBy("item").agg(
         F.sum("rev").cast("double").alias("rev"), F.sum("qty").cast("double").alias("qty"),
         F.count(F.lit(1)).alias("bills"),
-    )
-    total = bi.agg(F.count_distinct("bill").alias("t")).filter(F.col("t") >= 2)
+    ), "live-items")
+    total = lines.agg(F.count_distinct("bill")).first()[0]
     avg_unit = F.col("rev") / F.greatest(F.col("qty"), F.lit(1.0))
-    ok = per_item.filter((F.col("qty") >= 2) & (avg_unit >= 10)).select("item", avg_unit.alias("avg"), "bills")
-    co = pair_counts(bi.join(ok.select("item"), "item", "left_semi"))
-    quad = live_quadrants(per_item)
-    a = ok.select(F.col("item").alias("a"), F.col("avg").alias("avg_a"), F.col("bills").alias("ca"))
-    b = ok.select(F.col("item").alias("b"), F.col("avg").alias("avg_b"), F.col("bills").alias("cb"))
-    qa = quad.select(F.col("item").alias("a"), F.col("quadrant").alias("quad_a"))
-    qb = quad.select(F.col("item").alias("b"), F.col("quadrant").alias("quad_b"))
-    m = co.join(a, "a").join(b, "b").join(total, how="inner").join(qa, "a").join(qb, "b")
-    co_d = F.col("co").cast("double")
-    sup_a = F.col("ca").cast("double") / F.col("t")
-    sup_b = F.col("cb").cast("double") / F.col("t")
-    sup_ab = co_d / F.col("t")
-    conf = sup_ab / sup_a
-    lift = conf / sup_b
-    ra, rb = rnd(F.col("avg_a"), 0), rnd(F.col("avg_b"), 0)
-    out = m.select(
-        F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("co").alias("co_count"),
-        rnd(lift, 2).alias("lift"), rnd(sup_ab * 100, 2).alias("support_pct"), rnd(conf * 100, 1).alias("conf_pct"),
-        ra.alias("avg_a"), rb.alias("avg_b"), "quad_a", "quad_b",
-        rnd((ra + rb) * BUNDLE_DISCOUNT, 0).alias("bundle_price"),  # B7
-    )
-    return out.orderBy(F.col("lift").desc(), F.col("co_count").desc(), "item_a", "item_b").limit(top_n)
+    enough = F.lit(total >= 2) & (F.col("qty") >= 2) & (avg_unit >= 10)
+    items = per_item.filter(enough).select("item", avg_unit.alias("avg"), "bills", _live_quadrant(per_item).alias("quadrant"))
+    return _live_pairs(lines, items, total, top_n, live_limit(lines, items, total, top_n))
 
 
 # ── B9 ─────────────────────────────────────────────────────────────────────────

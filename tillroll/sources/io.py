@@ -22,6 +22,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh shared folder and read it back: what several steps share is computed
+    once, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # ── S2 / S3 ────────────────────────────────────────────────────────────────────
 def read_feed_csv(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
     """S2/S3 — CSV with a header row, every column a string (no inference pass),
