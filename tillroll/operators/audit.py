@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import day_str, plain_number, strip
+from tillroll.operators.ranks import higher_since
 
 # ── Fixed values: patterns that must equal the reference's behaviour ──────────
 ISO_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
@@ -68,18 +69,14 @@ def daily_ranks(sales: DataFrame, window: str = "all") -> DataFrame:
 
     ``all``: one ranking over all days; ``month``: ranking within each calendar month;
     ``last90``: each day ranked among the days from 90 days before it onward (lower bound
-    only, as in the source) — a RANGE frame over day numbers, counting higher revenues.
+    only, as in the source), counted block by block (``ranks.higher_since``).
     Runs over *daily* rows only (one per day, calendar-bounded), never over lines.
     """
     daily = sales.filter(F.col("ZONE").isNotNull()).groupBy("INVOICE_DATE").agg(F.round(F.sum("NET_AMT"), 2).alias("rev"))
     if window == "last90":
-        day_no = F.datediff("INVOICE_DATE", F.lit("1970-01-01").cast("date"))
-        w = Window.orderBy(day_no).rangeBetween(-90, Window.unboundedFollowing)
-        higher = F.size(F.filter(F.collect_list("rev").over(w), lambda x: x > F.col("rev")))
-        return daily.select(
-            day_str("INVOICE_DATE").alias("d"), F.col("rev").cast("double").alias("rev"),
-            (higher + 1).alias("rank_desc"), F.count(F.lit(1)).over(w).alias("total_days"),
-        )
+        ranked = higher_since(daily.withColumnRenamed("INVOICE_DATE", "d"), 90)
+        return ranked.select(day_str("d").alias("d"), F.col("rev").cast("double").alias("rev"),
+                             (F.col("higher") + 1).alias("rank_desc"), F.col("total").alias("total_days"))
     part = [] if window == "all" else [F.date_format("INVOICE_DATE", "yyyy-MM")]
     w = Window.partitionBy(*part).orderBy(F.col("rev").desc())
     return daily.select(
