@@ -68,7 +68,7 @@ def label_before_paren(c: Column | str, width: int = 28) -> Column:
 def plain_number(c: Column) -> Column:
     """Double of a decimal literal in text; null for anything else (type suffixes, NaN, words)."""
     text = strip(c.cast("string"))
-    return F.when(text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    return F.when(F.translate(text, "0123456789.+-eE", "") == "", text.try_cast("double"))
 
 
 def rnd(x: Column, digits: int) -> Column:

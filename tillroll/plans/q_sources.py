@@ -40,14 +40,29 @@ def s1(spark, sf):
 
 _RAW_TAX = f"raw AS ({rf.feed_sql('tax_charge')})"
 _NOT_EMPTY = " OR ".join(f'"{h}" IS NOT NULL' for h in rf.RAW_HEADERS["tax_charge"])
+_TITLES = ["Tax charge report", "", "All outlets, one row a bill line"]
+_NUMBERS = ("Bill No", "BaiscRate", "Sales Qty")  # the columns whose values are all numbers
 
 
-@register("S2_S3_read_feed_csv", with_sales(f"WITH {_RAW_TAX}\nSELECT COUNT(*) AS rows, {len(rf.RAW_HEADERS['tax_charge'])} AS n_columns FROM raw WHERE {_NOT_EMPTY}"))
+def _typed_sql(typed: bool) -> str:
+    cols = [(h, h.strip()) for h in rf.RAW_HEADERS["tax_charge"]]
+    return ", ".join(f'CAST("{h}" AS DOUBLE) AS "{n}"' if typed and n in _NUMBERS else f'"{h}" AS "{n}"' for h, n in cols)
+
+
+@register("S2_S3_read_feed_csv", with_sales(f"WITH {_RAW_TAX}\nSELECT {_typed_sql(False)} FROM raw WHERE {_NOT_EMPTY}"))
 def s2(spark, sf):
     path = io.scratch_path(spark, "raw_tax_charge_csv")
     io.write_csv(rf.tax_charge_feed(spark, sf), path)
-    df = io.read_feed_csv(spark, path)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).alias("n_columns"))
+    return io.read_feed_csv(spark, path)
+
+
+@register("S2_S3_S4_S5_load_chain", with_sales(f"WITH {_RAW_TAX}\nSELECT {_typed_sql(True)} FROM raw WHERE {_NOT_EMPTY}"))
+def load_chain(spark, sf):
+    """Sheets with titles above the header → strings → column typing → replacing load, read back."""
+    path, table = io.scratch_path(spark, "tax_charge_sheets"), io.scratch_path(spark, "tax_charge_table")
+    io.write_sheets(rf.tax_charge_feed(spark, sf), path, _TITLES, sheets=4)
+    strings = io.read_feed_csv(spark, path, header_row=len(_TITLES))
+    return io.load_table(io.apply_numeric_typing(strings), table)
 
 
 @register("S4_numeric_typing", with_sales(f"WITH {_RAW_TAX}\n" + "\nUNION ALL\n".join(
@@ -67,20 +82,23 @@ def s5(spark, sf):
 
 
 @register("S6_partitioned_layout", with_sales("""
-SELECT COUNT(*) AS lines, CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS revenue FROM sales WHERE strftime(INVOICE_DATE, '%Y-%m') = '1997-08'"""))
+SELECT strftime(INVOICE_DATE, '%Y-%m') AS year_month, ZONE, COUNT(*) AS lines, COUNT(DISTINCT PRODUCT) AS products,
+       CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS revenue FROM sales GROUP BY ALL"""))
 def s6(spark, sf):
     path = io.scratch_path(spark, "sales_by_month")
     io.write_partitioned(sales_of(spark, sf, "ZONE", "PRODUCT", "INVOICE_DATE", "INVOICE_NO", "NET_AMT"), path)
-    back = spark.read.parquet(path).filter(F.col("year_month") == "1997-08")  # partition pruning
-    return back.agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("NET_AMT"), 2).cast("double").alias("revenue"))
+    return spark.read.parquet(path).groupBy("year_month", "ZONE").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("PRODUCT").alias("products"),
+        F.round(F.sum("NET_AMT"), 2).cast("double").alias("revenue"))
 
 
-@register("S7_csv_sink", with_sales(f"WITH {standardise_sql('hourly')}\nSELECT COUNT(*) AS rows, COUNT(DISTINCT outlet_name) AS outlets FROM std_hourly WHERE {_VALID}"))
+@register("S7_csv_sink", with_sales(f"WITH {standardise_sql('hourly')}\nSELECT * REPLACE (COALESCE(net_revenue, 0.0) AS net_revenue) FROM std_hourly WHERE {_VALID}"))
 def s7(spark, sf):
     path = io.scratch_path(spark, "cleaned_hourly_items_csv")
-    io.write_csv(clean.validate(cleaned(spark, sf, "hourly")), path)
+    std = cleaned(spark, sf, "hourly")
+    io.write_valid_csv(std, clean.valid_outlet(std), path)
     back = io.read_feed_csv(spark, path)
-    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("outlet_name").alias("outlets"))
+    return back.withColumns({c: F.col(c).cast("double") for c in ("net_revenue", "quantity")})
 
 
 @register("S8_json_results_roundtrip", with_sales(_PAIRS + "\nSELECT * FROM pairs ORDER BY lift DESC, co_count DESC, item_a, item_b LIMIT 30"))

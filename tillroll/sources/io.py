@@ -8,9 +8,11 @@ path that the same plan is reading.
 
 from __future__ import annotations
 
+import csv
+import io
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,10 @@ from tillroll.functions.exprs import plain_number
 from tillroll.session import checkpoint_dir
 
 
+#: values are written as they are, blanks around them included
+AS_IS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tillroll/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -31,17 +37,70 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 # ── S2 / S3 ────────────────────────────────────────────────────────────────────
-def read_feed_csv(spark: SparkSession, path: str, comment: str | None = None) -> DataFrame:
-    """S2/S3 — CSV with a header row, every column a string (no inference pass),
-    header names stripped, all-empty rows dropped.  Preamble lines above the header can
-    be skipped with a ``comment`` marker."""
-    r = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-    if comment:
-        r = r.option("comment", comment)
-    df = r.csv(path)
+def read_feed_csv(spark: SparkSession, path: str, comment: str | None = None, header_row: int = 0) -> DataFrame:
+    """S2/S3 — CSV, every column a string (no inference pass), header names stripped, all-empty rows
+    dropped.  The header is the line numbered ``header_row`` (from 0) of every file; lines above it
+    are titles and go.  Lines that start with ``comment`` are no lines at all."""
+    if header_row:
+        df = _read_below(spark, path, comment, header_row)
+    else:
+        r = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+        if comment:
+            r = r.option("comment", comment)
+        df = r.csv(path)
     return df.toDF(*[c.strip() for c in df.columns]).na.drop(how="all")
 
 
+def _read_below(spark: SparkSession, path: str, comment: str | None, header_row: int) -> DataFrame:
+    """Rows below the header line, whatever the files' splits: lines are numbered in the first split of
+    each file, which holds the header, by their distance from the file's first line; all
+    lines of later splits are rows."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"))
+    if comment:
+        lines = lines.where(~F.col("value").startswith(comment))
+    first = lines.where("start = 0").groupBy("file").agg(F.min("id").alias("base"))
+    line = F.when(F.col("start") == 0, F.col("id") - F.col("base"))
+    numbered = lines.join(first, "file").select("file", "value", line.alias("line"))
+    head = numbered.where(F.col("line") == header_row).orderBy("file").select("value").first()
+    names = _header_names(head["value"]) if head else []
+    rows = numbered.where(F.col("line").isNull() | (F.col("line") > header_row))
+    if not names:
+        return spark.createDataFrame([], T.StructType())
+    parsed = rows.where("value <> ''").select(F.from_csv("value", _ddl(names)).alias("r"))
+    return parsed.select("r.*").toDF(*names)
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"c{i} string" for i in range(len(names)))
+
+
+def _header_names(line: str) -> list[str]:
+    """Cells of a header line; blank ones are numbered, repeated ones told apart by a suffix."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, cell in enumerate(next(csv.reader([line]))):
+        name = cell if cell.strip() else f"Unnamed: {i}"
+        n = seen.setdefault(name, 0)
+        seen[name] += 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
+def write_sheets(df: DataFrame, path: str, titles: list[str], sheets: int) -> None:
+    """CSV files with ``titles`` above the header, one file a sheet; rows are dealt by their hash."""
+    cells = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    body = df.select(F.pmod(F.xxhash64(*cells), F.lit(sheets)).alias("sheet"), F.lit(len(titles) + 1).alias("line"),
+                     F.to_csv(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), AS_IS).alias("value"))
+    buffer = io.StringIO()
+    csv.writer(buffer, lineterminator="").writerow(df.columns)
+    above = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(t).alias("value")) for i, t in enumerate([*titles, buffer.getvalue()])])
+    tops = df.sparkSession.range(sheets).select(F.col("id").alias("sheet"), F.explode(above).alias("x")).select("sheet", "x.*")
+    (tops.unionByName(body).repartition(sheets, "sheet").sortWithinPartitions("sheet", "line")
+     .select("sheet", "value").write.mode("overwrite").partitionBy("sheet").text(path))
+
+
 # ── S4 ─────────────────────────────────────────────────────────────────────────
 def numeric_columns(df: DataFrame) -> DataFrame:
     """S4 report — per column, whether every non-null value parses as a number.
@@ -89,7 +148,18 @@ def write_partitioned(sales_df: DataFrame, path: str, by: str = "year_month",
 
 def write_csv(df: DataFrame, path: str) -> None:
     """S7 — CSV sink with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **AS_IS).csv(path)
+
+
+def write_valid_csv(df: DataFrame, valid: Column, path: str) -> dict[str, int]:
+    """E6 + S7 — write the rows that are ``valid``; the counts of rows before, after and dropped are
+    observed during that one pass."""
+    seen = Observation("rows")
+    observed = (df.withColumn("_keep", valid)
+                .observe(seen, F.count(F.lit(1)).alias("before"), F.count_if("_keep").alias("after")))
+    write_csv(observed.filter("_keep").drop("_keep"), path)
+    got = seen.get
+    return {"rows_before": got["before"], "rows_after": got["after"], "dropped": got["before"] - got["after"]}
 
 
 def write_json(df: DataFrame, path: str) -> None:
