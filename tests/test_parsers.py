@@ -33,7 +33,8 @@ DATES = ["2000-01-05", "2000-01-05 07:08:09", "01/05/2000", "05-01-2000", "not a
 
 def test_guarded_date_parse_equals_plain_ordered_attempts(spark):
     df = spark.createDataFrame([(x,) for x in DATES], "d string")
-    plain = F.date_format(F.coalesce(*[F.try_to_timestamp(F.col("d"), F.lit(f)) for f in clean.DATE_FORMATS]), "yyyy-MM-dd")
+    formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MM-dd-yyyy"]
+    plain = F.date_format(F.coalesce(*[F.try_to_timestamp(F.col("d"), F.lit(f)) for f in formats]), "yyyy-MM-dd")
     rows = df.select(clean.safe_date(F.col("d")).alias("g"), plain.alias("p")).collect()
     assert [r["g"] for r in rows] == [r["p"] for r in rows]
     assert rows[0]["g"] == "2000-01-05" and rows[2]["g"] == "2000-01-05" and rows[4]["g"] is None
