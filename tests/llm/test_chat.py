@@ -40,3 +40,29 @@ def test_rows_become_a_log_and_back(spark):
     assert [tuple(t) for t in out[1]["turns"]] == [("", ""), ("user", long), ("user", long)]
     assert [tuple(t) for t in out[2]["turns"]] == [("assistant", "")]
     assert chat.format_chat(chat.log_of_rows(rows.limit(0))).count() == 0
+
+
+def _seconds(run):
+    import time
+
+    at = time.perf_counter()
+    got = run()
+    return time.perf_counter() - at, got
+
+
+def test_work_follows_the_size_of_a_conversation(spark):
+    def read(turns, size):
+        rows = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+                                         F.when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"),
+                                         F.repeat(F.lit("a#\\ü\n"), size).alias("text"), F.lit("x").alias("seq"), F.lit(1).alias("log"))
+        out = chat.format_chat(chat.log_of_rows(rows))
+        return out.select("n_turns", F.length(chat.masked_text(F.col("formatted"), F.col("loss_spans"))).alias("n"),
+                          F.size(chat.read_turns(F.col("formatted"))).alias("read")).first()
+
+    read(100, 10)
+    few, _ = _seconds(lambda: read(8000, 40))
+    many, got = _seconds(lambda: read(64000, 40))
+    assert tuple(got) == (64000, 32000 * 200, 64000) and many < 16 * max(few, 1)
+    short, _ = _seconds(lambda: read(1, 200_000))
+    long, got = _seconds(lambda: read(1, 1_600_000))  # a text of 8 million characters
+    assert got["n"] == 8_000_000 and long < 16 * max(short, 1)

@@ -2,7 +2,7 @@ import pytest
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp  # noqa: E402
-from tillroll.llm import langid, simhash, toxicity  # noqa: E402
+from tillroll.llm import langid, packing, simhash, toxicity  # noqa: E402
 from test_simhash import UPPER, brute_print, classes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,30 @@ def test_stages_keep_columns_and_take_odd_input(spark, docs, odd_rows):
         assert stage(spark, df.limit(0), SF).count() == 0, name
     assert cp.STAGES[-1][1](spark, df.limit(0), SF).count() == 0
     assert simhash.BITS == 2
+
+
+def test_a_worker_holds_no_encoder_after_packing_or_other_work(spark, docs):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    def kept(batches):
+        import pyarrow as pa
+        from tillroll.llm import common
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(common._held)])], ["n"])
+
+    df = docs([(i, f"some words {i}") for i in range(40)])
+    packing.tokenised(df, public_tokenizers.path("word_bpe_49k.json")).count()
+    langid.predict(df.repartition(16), langid.fit(df)).count()
+    simhash.near_duplicates(df.repartition(16)).count()
+    assert spark.range(16).repartition(16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] <= 1
+
+
+def test_one_slot_for_encoders():
+    from tillroll.llm import common
+
+    assert common.held("a", lambda: 1) == 1 and common.held("a", lambda: 2) == 1
+    assert common.held("b", lambda: 3) == 3 and list(common._held) == ["b"]
+    common.release()
+    assert not common._held

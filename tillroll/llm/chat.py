@@ -16,7 +16,7 @@ Escapes are reversible: backslash -> ``\\\\``, ``#`` -> ``\\#``, ``</`` -> ``<\\
 
 Defined results: null text or role is empty, null ``conv_id`` is one conversation, a null kind is a
 delta, null ``seq`` sorts first; ties fall by message, kind and text; an empty log gives no
-rows.  Messages are folded before conversations, each in its own shuffle with partial
+rows; other columns of the log, clashing names included, are left behind.  Messages are folded before conversations, each in its own shuffle with partial
 aggregation; a whole conversation is one output cell, as its format asks for.
 """
 
@@ -44,17 +44,22 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
 
 
+def cut(text: Column, piece: int = PIECE) -> Column:
+    """A text's pieces of ``piece`` code points, cut in one pass; an empty text is one empty piece."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)))
+
+
 def log_of_rows(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """Event log of finished turns (conv_id, turn, role, text): each row opens a message and
     streams its text in pieces of ``piece`` code points; rows order by turn, then role and text."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).select(
         "*", F.row_number().over(order).cast("long").alias("message_id"))
-    step = F.posexplode(F.sequence(F.lit(0), F.length("text"), F.lit(piece)))
-    return (numbered.select("*", step.alias("k", "at"))
+    return (numbered.select("conv_id", "message_id", "role", F.posexplode(cut(F.col("text"), piece)).alias("k", "piece"))
             .select("conv_id", F.struct("message_id", "k").alias("seq"), "message_id",
                     F.when(F.col("k") == 0, "message").otherwise("delta").alias("kind"), "role",
-                    F.substring("text", F.col("at") + 1, F.lit(piece)).alias("text")))
+                    F.col("piece").alias("text")))
 
 
 def fold_messages(events: DataFrame) -> DataFrame:
@@ -110,6 +115,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(
-        F.substring(formatted, (s.start + 1).cast("int"), s.length))), "")
+    """All text under the loss mask, unescaped.
+
+    The conversation is cut into pieces once; a span is read from the pieces that it touches, so the
+    work follows the length of the conversation and not its square."""
+    def under(pieces: Column, s: Column) -> Column:
+        first = F.floor(s.start / PIECE).cast("int")
+        count = F.floor((s.start + s.length) / PIECE).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), (s.start % PIECE + 1).cast("int"), s.length)
+
+    def text(pieces: Column) -> Column:  # the pieces are bound, or each span would cut anew
+        return F.array_join(F.transform(spans, lambda s: unescape(under(pieces, s))), "")
+
+    return F.transform(F.array(cut(formatted)), text)[0]

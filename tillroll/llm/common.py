@@ -81,6 +81,30 @@ def with_group_sum(rows: DataFrame, key: str, value: str, name: str, parts: int
     return near.where("of IS NOT NULL").drop("k", "of").unionByName(far.drop("k", "of"))
 
 
+_held: dict = {}
+
+
+def held(name: str, make):
+    """The one large object (an encoder) that this worker process keeps between tasks: made when
+    missing, in place of any other."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def release() -> None:
+    """Drop what ``held`` keeps: work that has no use for it calls this first, as workers are reused."""
+    _held.clear()
+
+
+def sliced(batches, rows: int):
+    """Record batches of at most ``rows`` rows: what is made of a batch at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Memo(dict):
     """Bounded memo of ``make``: when full, the older half goes."""
 

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType
 
-from tillroll.llm.common import ROW, document_text, field, packed, staged, unpacked
+from tillroll.llm.common import ROW, document_text, field, packed, release, staged, unpacked
 
 COUNTERS = 2000
 
 
 @F.arrow_udf(BinaryType())
 def folded_digest(text: pa.Array) -> pa.Array:
+    release()
     return pa.array([hashlib.sha256(t.encode().lower()).digest() for t in text.to_pylist()], pa.binary())
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillroll.llm.common import document_text, field, fold_of, on_workers, packed, staged
+from tillroll.llm.common import document_text, field, fold_of, on_workers, packed, release, staged
 
 DOCS, PIECE = 256, 8192
 #: pieces times languages that share tables at most
@@ -177,6 +177,7 @@ def predict(docs: DataFrame, model: Ppm) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def run(text: pa.Array) -> pa.Array:
+        release()
         found = [shared.value.predict(t) for t in text.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()),
                                            pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])

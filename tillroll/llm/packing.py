@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm.common import Memo, document_text, field, packed, staged
+from tillroll.llm.common import Memo, document_text, field, held, packed, release, sliced, staged
 
 WINDOW = 4096
 #: least whole tokens of a window that a queue of its own must be due
 LEAST = 4
 END = 2
+#: documents whose ids are held at once
+SLICE = 512
 WORDS, LETTERS = 150_000, 350_000
 STOPS = string.punctuation.replace("'", "")
 PROBES = ("Word", "word.", "Élan,", "straße?!", "çà", "日本", "и", "extraordinarily...")
@@ -82,14 +84,9 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(definition: str) -> WordEncoder:
-    """This process's encoder for a tokenizer definition, built once."""
-    if definition not in _encoders:
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+    """This process's encoder for a tokenizer definition, kept until other work starts in it."""
+    return held(f"words {hash(definition)}", lambda: WordEncoder(definition))
 
 
 class Mixture:
@@ -160,7 +157,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     def run(batches):
         own, tail = encoder(definition.value), np.array([end], "<u4").tobytes()
         ahead: dict[str, int] = {}
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             starts, sizes, ids = [], [], []
             for source, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 data = np.frombuffer(own.encode(text) + tail, "<u4")
@@ -211,7 +208,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
                    .select("pid", "source", "queue", (F.col("inside") + F.col("ahead")).alias("base")), "queue-bases")
 
     def run(batches):
-        for batch in batches:
+        release()
+        for batch in sliced(batches, SLICE):
             row, starts, sizes_, windows, offsets, ids, padded = [], [], [], [], [], [], []
             queue, first, n, data = (batch.column(i).to_pylist() for i in range(4))
             for r in range(batch.num_rows):

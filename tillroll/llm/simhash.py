@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.llm.common import ROW, document_text, field, packed, staged, unpacked
+from tillroll.llm.common import ROW, document_text, field, packed, release, staged, unpacked
 from tillroll.llm.components import components
 
 SHINGLE, BITS, BLOCKS, PIVOTS, CROWD = 3, 2, 5, 16, 64
@@ -64,6 +64,7 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([simhash(t, shingle) for t in texts.to_pylist()], pa.int64())
 
     return run(text)

@@ -9,8 +9,8 @@ over hit words, normalised by the logarithm of its length in words, and its scor
 Learning uses a bounded sample of labelled rows outside the held-out fold: at most ``TOXIC`` toxic
 and ``CLEAN`` clean documents, whole texts.  Stems enter by the distinct contexts (word with both
 neighbours, so that copies count once) that they have in toxic and in clean texts: the log-likelihood
-ratio must be beyond chance, and the weight is the log odds.  Of stems with at least ``LEAST`` toxic
-contexts every one that passes enters; their number is bounded by the sample alone.
+ratio must be beyond chance, and the weight is the log odds.  Every stem that passes enters, however
+few its contexts; their number is bounded by the sample alone.
 
 Defined results: null and empty texts score 0; null labels or ids are not learned from; a document
 labelled twice counts with its larger label; without toxic labels the seed lexicon decides alone;
@@ -26,13 +26,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.llm.common import document_text, field, fold_of, on_workers, packed
+from tillroll.llm.common import document_text, field, fold_of, on_workers, packed, release, sliced, staged
 
 FOLDS, HELD = 5, 0
 TOXIC, CLEAN = 2000, 6000
 STEM = (3, 10)
 ODDS = 2.0
-LEAST = 4
 
 # General insults that hold before any label is seen, with their weight.
 SEEDS = ("asshole bastard bitch dumbass idiot imbecile jerk loser moron pathetic retard scum stupid worthless").split()
@@ -108,7 +107,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(toxic, text) of the drawn documents: a bounded id list, broadcast to the scan."""
+    """(doc_id, toxic, text) of the drawn documents, one row an id (of several the least text): a
+    bounded id list, broadcast to the scan."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -117,11 +117,12 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         known.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN))
     drawn = drawn.select(F.col("doc_id").alias("drawn_id"), "toxic")
     rows = packed(docs).select(field("doc_id").cast("long").alias("doc_id"), document_text().alias("text"))
-    return (rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn_id")).select("doc_id", "toxic", "text"))
+    return (rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("drawn_id"))
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
 
 def _contexts(batches):
-    for batch in batches:
+    for batch in sliced(batches, 64):
         words, seen, toxic = [], [], []
         for label, text in zip(*(c.to_pylist() for c in batch.columns)):
             own = fold(text).split()
@@ -178,7 +179,7 @@ def _threshold(pairs: list[tuple[float, int]]) -> float:
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     spark = docs.sparkSession
     on_workers(spark)
-    sample = _sample(docs, labels).select("toxic", "text")
+    sample = staged(_sample(docs, labels).select("toxic", "text"), "toxicity-sample")
     words = (sample.mapInArrow(_contexts, "word string, context long, toxic int").distinct()
              .groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     stems = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length("word"), F.lit(STEM[1]))),
@@ -191,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not size["t"]:
         return Lexicon(SEEDED)
     toxic, clean, kinds = size["t"], size["c"], 6 * size["n"]
-    found = (features.where((F.col("t") >= LEAST) & (F.col("t") * clean >= math.exp(ODDS) * F.col("c") * toxic))
+    found = (features.where((F.col("t") > 0) & (F.col("t") * clean >= math.exp(ODDS) * F.col("c") * toxic))
              .where(_ratio(toxic, clean) >= _beyond(kinds) - 1e-3).collect())  # decided by _choose
     learned = _choose([tuple(r) for r in found], toxic, clean, kinds)
     lexicon = Lexicon(SEEDED | learned)
@@ -213,6 +214,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
+        release()
         return pa.array([shared.value.score(t) for t in text.to_pylist()], pa.float64())
 
     return packed(docs).withColumn("toxicity", run(document_text()))
