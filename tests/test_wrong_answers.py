@@ -85,3 +85,39 @@ def test_no_headline_marker_in_any_case(spark):
     ctx = spark.createDataFrame([("2026-01-01", None, None, "no HEADLINES today")],
                                 "date string, holiday_name string, weather_condition string, news_disruptors string")
     assert cx.market_risk(ctx).count() == 0
+
+
+def test_headlines_widen_until_a_date_has_enough(spark):
+    """Date 0: the first 30 documents repeat one line, later ones bring the rest; date 1: few lines in all;
+    date 2: null and empty texts only; ids repeat."""
+    docs = [(3 * i, "same\nsame") for i in range(30)] + [(3 * i, f"late {i}\nsame\n late {i} ") for i in range(30, 200)]
+    docs += [(1 + 3 * i, f"x{i % 4}\n\n") for i in range(150)] + [(2, None), (5, ""), (5, ""), (4, "tie b"), (4, "tie a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    dates = spark.createDataFrame([(dt.date(2026, 1, d),) for d in (1, 2, 3)], "date date")
+    got = {r["date"].day: r["h"] for r in cf.headlines_by_date(frame, cf.date_index(dates)).collect()}
+    want = {}
+    for k in range(3):
+        seen = []
+        for d, t in sorted((x for x in docs if x[0] % 3 == k), key=lambda x: x[0]):
+            seen += [y.strip() for y in (t or "").split("\n") if y.strip() and y.strip() not in seen]
+        want[k + 1] = list(dict.fromkeys(seen))[:10]
+    assert got[1] == want[1] and got[3] == [] and set(got[2][:4]) <= set(want[2]) and sorted(got[2]) == sorted(want[2])
+
+
+def test_upsert_leaves_other_months_alone(spark):
+    import glob
+
+    from tillroll.operators import context as ctx
+    from tillroll.sources import io
+
+    rows = [(f"2026-{m:02}-{d:02}", f"old {m} {d}", "v1", "rule") for m in (1, 2, 3) for d in (1, 2)]
+    schema = "date string, note string, updated_at string, weather_source string"
+    path = io.scratch_path(spark, "months-test")
+    ctx.write_months(spark.createDataFrame(rows, schema), path)
+    files = lambda month: set(glob.glob(f"{path.removeprefix('file:')}/month=2026-{month}/*.parquet"))
+    before = {m: files(m) for m in ("01", "02", "03")}
+    assert all(before.values())
+    ctx.upsert_months(spark.createDataFrame([("2026-02-02", "new", "v0", "x"), ("2026-04-01", "new", "v0", "x")], schema), path)
+    assert files("01") == before["01"] and files("03") == before["03"] and files("02") != before["02"]
+    got = {r["date"]: r["note"] for r in spark.read.parquet(path).collect()}
+    assert got == {d: n for d, n, *_ in rows} | {"2026-02-02": "new", "2026-04-01": "new"}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import day_str
+from tillroll.sources.io import staged
 
 # ── Fixed values: commercial / cultural events ────────────────────────────────
 # Fixed-date events, "MM-DD" -> name.
@@ -99,6 +100,22 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "date", order: s
     return u.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_in")
 
 
+def write_months(ctx: DataFrame, path: str) -> None:
+    """The context table in month directories (``month``, from ``date``)."""
+    ctx.withColumn("month", F.substring("date", 1, 7)).write.mode("overwrite").partitionBy("month").parquet(path)
+
+
+def upsert_months(incoming: DataFrame, path: str) -> None:
+    """S9 on a stored table — upsert that rewrites only the months with incoming dates: they are merged
+    aside first, then replace their directories; files of other months stay as they are."""
+    spark = incoming.sparkSession
+    incoming = incoming.withColumn("month", F.substring("date", 1, 7))
+    stored = spark.read.parquet(path).withColumn("month", F.col("month").cast("string"))
+    touched = stored.join(F.broadcast(incoming.select("month").distinct()), "month", "left_semi")  # calendar months
+    merged = staged(upsert(touched, incoming), "context-months")
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
+
+
 def headlines_array(ctx: DataFrame) -> Column:
     """JSON text → array<string>; malformed JSON → empty array."""
     return F.coalesce(F.from_json("news_headlines", "array<string>"), F.array().cast("array<string>"))

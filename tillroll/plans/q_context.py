@@ -8,8 +8,9 @@ from tillroll.functions.exprs import day_str
 from tillroll.operators import context as cx
 from tillroll.operators.anomaly import detect_anomalies
 from tillroll.operators.kpi import zone_day_revenue
-from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.plans.registry import ORACLES, register, sales_of, with_sales
 from tillroll.sources import context_feed as cf
+from tillroll.sources import io
 from tillroll.sources.tables import read_table
 
 _CTX = (
@@ -161,6 +162,16 @@ def s9(spark, sf):
     return cx.upsert(feed, incoming)
 
 
+@register("S9_context_month_store", ORACLES["S9_context_upsert"])
+def s9_months(spark, sf):
+    """The same upsert on the stored, month-partitioned table."""
+    feed = io.staged(_feed(spark, sf), "context")
+    path = io.scratch_path(spark, "context_store")
+    cx.write_months(feed, path)
+    cx.upsert_months(cf.weather_refresh(feed).unionByName(_week_rows(spark, sf)), path)
+    return spark.read.parquet(path).drop("month")
+
+
 @register("S10_context_schema_evolution", _ctx_sql("," + _REFRESH + """,
 old AS (SELECT date, is_holiday, holiday_name, holiday_type, temp_max_c, precipitation_mm, weather_condition, weather_source,
                CAST(NULL AS VARCHAR) AS weather_api_error, news_headlines, news_disruptors,

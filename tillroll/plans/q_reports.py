@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tillroll.operators import anomaly, basket, reports
-from tillroll.plans.q_kpi import D0, D1, ZONES, _WIN
-from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.plans.q_kpi import D0, D1, ZONES
+from tillroll.plans.registry import ORACLES, register, sales_of
 from tillroll.sources import context_feed as cf
 from tillroll.sources import io
 
 
-@register("R1_kpi_tab_bundle", with_sales(f"""
-WITH f AS (SELECT * FROM sales WHERE {_WIN}),
-top AS (SELECT PRODUCT FROM f WHERE PRODUCT IS NOT NULL GROUP BY PRODUCT ORDER BY ROUND(SUM(NET_AMT), 2) DESC, PRODUCT LIMIT 1),
-zone AS (SELECT ZONE FROM f GROUP BY ZONE ORDER BY ROUND(SUM(NET_AMT), 2) DESC LIMIT 1)
-SELECT CAST(ROUND(SUM(NET_AMT), 2) AS DOUBLE) AS total_revenue, COUNT(DISTINCT INVOICE_NO) AS total_orders,
-       (SELECT PRODUCT FROM top) AS top_product, (SELECT ZONE FROM zone) AS top_zone,
-       COUNT(DISTINCT INVOICE_DATE) AS days, COUNT(*) AS raw_lines
-FROM f"""))
+_TAB = {  # section -> the columns of its table, from the queries of the single tables
+    "kpi": ORACLES["A1_kpi_header"], "top5": ORACLES["A2_top5_products"], "by_zone": ORACLES["A3_revenue_by_zone"],
+    "daily": ORACLES["A4_daily_trend"], "raw": ORACLES["F13_raw_lines"],
+}
+
+
+@register("R1_kpi_tab_bundle", "\nUNION ALL BY NAME\n".join(
+    f"SELECT '{name}' AS section, * FROM ({sql})" for name, sql in _TAB.items()))
 def r1(spark, sf):
+    """All five tables of the tab in full, told apart by ``section``."""
     s = sales_of(spark, sf, "ZONE", "INVOICE_DATE", "INVOICE_NO", "NET_AMT", "QTY_PACKS", "TOTAL_VOLUME_BILLED_LTR",
                  "PRODUCT", "CHANNEL", "PRODUCT_CLASS")
     tab = reports.kpi_tab(s, list(ZONES), D0, D1, io.scratch_path(spark, "kpi_window"))
-    head = tab.kpi.select("total_revenue", "total_orders")
-    top = tab.top5.limit(1).select(F.col("item_name").alias("top_product"))
-    zone = tab.by_zone.limit(1).select(F.col("outlet_name").alias("top_zone"))
-    days = tab.daily.agg(F.count(F.lit(1)).alias("days"))
-    raw = tab.raw.agg(F.count(F.lit(1)).alias("raw_lines"))
-    return head.join(top, how="inner").join(zone, how="inner").join(days, how="inner").join(raw, how="inner")
+    parts = [getattr(tab, name).withColumn("section", F.lit(name)) for name in _TAB]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @register("R2_proactive_brief")

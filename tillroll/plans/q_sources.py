@@ -9,10 +9,11 @@ from tillroll.operators import anomaly, basket, clean
 from tillroll.plans.q_anomaly import _cl_cte
 from tillroll.plans.q_basket import _PAIRS
 from tillroll.plans.q_clean import _VALID, cleaned, read_raw, standardise_sql
-from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.plans import q_audit  # noqa: F401  (its tags are traced)
+from tillroll.plans.registry import ORACLES, register, sales_of, with_sales
 from tillroll.sources import io
 from tillroll.sources import raw_feeds as rf
-from tillroll.sources.tables import ALL_COLUMNS, sales
+from tillroll.sources.tables import ALL_COLUMNS, read_table, sales
 
 _MONEY_COLS = {"PRODUCT_MRP", "BASIC_RATE", "QTY_PACKS", "GROSS_AMT", "NET_AMT", "SCHEME_AMT", "GRP_SCHEME_AMT", "TOTAL_VOLUME_BILLED_LTR"}
 
@@ -110,17 +111,21 @@ def s8(spark, sf):
     return io.read_json(spark, path, schema)
 
 
-@register("S11_trace_append")
+@register("S11_trace_append", with_sales("WITH tags AS (" + ORACLES["T6_T7_T8_T9_intent_tags"] + """)
+SELECT run, question_id, intent, TRUE AS stamped FROM tags CROSS JOIN (VALUES (1), (2)) r(run)"""))
 def s11(spark, sf):
+    """Every traced row of two appends, read back."""
     from tillroll.operators.audit import tag_questions
     from tillroll.operators.kpi import zone_bounds
     from tillroll.sources.question_log import question_log
     path = io.scratch_path(spark, "copilot_trace")
-    tags = tag_questions(question_log(spark, sf), zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE")))
-    io.append_trace(tags.select("question_id", "intent").withColumn("run", F.lit(1)), path)
-    io.append_trace(tags.select("question_id", "intent").withColumn("run", F.lit(2)), path)
+    tags = io.staged(tag_questions(question_log(spark, sf), zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE")))
+                     .select("question_id", "intent"), "tags")
+    for run in (1, 2):
+        io.append_trace(tags.withColumn("run", F.lit(run)), path)
     back = spark.read.schema("question_id string, intent string, run int, ts string").json(path)
-    return back.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.count("ts").alias("stamped"))
+    stamp = F.col("ts").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[.]\d{6}Z$")
+    return back.select("run", "question_id", "intent", F.coalesce(stamp, F.lit(False)).alias("stamped"))
 
 
 def _digest_sql(batch: int, stamp: str, group: str = "") -> str:
@@ -153,9 +158,24 @@ def s12(spark, sf):
     return io.notification_history(spark, path, 5).drop("logged_at")
 
 
-@register("S13_catalog_report")
+_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+}
+
+
+@register("S13_catalog_report", "\nUNION ALL\n".join(
+    f"SELECT 'tr_{t}' AS \"table\", COUNT(*) AS rows, {c.count(',') + 1} AS n_columns, '{c}' AS columns FROM {t}"
+    for t, c in _TABLES.items()))
 def s13(spark, sf):
-    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
-        from tillroll.sources.tables import read_table
+    for name in _TABLES:
         read_table(spark, sf, name).createOrReplaceTempView(f"tr_{name}")
     return io.catalog_report(spark, "tr_")

@@ -18,9 +18,12 @@ derived deterministically from the data so that its size follows the data:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.sources.io import staged
 from tillroll.sources.tables import read_table, sales
 
 # ── Fixed values ──────────────────────────────────────────────────────────────
@@ -100,19 +103,35 @@ def date_index(dates: DataFrame) -> DataFrame:
 
 
 def headlines_by_date(docs: DataFrame, calendar: DataFrame, keep: int = HEADLINES) -> DataFrame:
-    """(date, h): the first ``keep`` distinct lines of all documents of each date.
-
-    Repeated lines fall together in a partial aggregate and each task passes on at most
-    ``keep`` lines per date, so a date's documents never meet in one task.
-    """
-    size = calendar.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n"))
-    lines = docs.join(size, how="inner").select(
-        F.coalesce(F.pmod("doc_id", "n"), F.lit(0)).alias("k"), "doc_id", F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
-    first = lines.groupBy("k", "line").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    """(date, h): the first ``keep`` distinct lines of all documents of each date, as a written table.
+
+    A document can only give its own first ``keep`` distinct lines.  Rounds look at the ``keep`` documents
+    of the smallest ids of every date, then at ten times as many, and so on; each task passes on
+    that many documents of a date at most, and a date stays in the rounds only while it has too few
+    lines and more documents.  So what is shuffled follows the dates, not the text."""
+    n = calendar.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    own = docs.select(F.coalesce(F.pmod("doc_id", F.lit(n)), F.lit(0)).alias("k"), "doc_id",
+                      headline_lines(F.col("text"), keep).alias("lines"))
+    near = F.dense_rank().over(Window.partitionBy("k").orderBy("doc_id"))
     place = F.row_number().over(Window.partitionBy("k").orderBy("at"))
-    top = first.withColumn("place", place).filter(F.col("place") <= keep)
-    per_date = top.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("h"))
-    return calendar.join(per_date, "k").select("date", "h")
+    waiting, limit, done = None, keep, []
+    while True:
+        some = own if waiting is None else own.join(waiting, "k", "left_semi")
+        some = some.withColumn("near", near).filter(F.col("near") <= limit)
+        lines = some.select("k", "doc_id", "near", F.posexplode_outer("lines").alias("pos", "line"))
+        first = lines.groupBy("k", "line").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.max("near").alias("near"))
+        top = first.withColumn("place", F.when(F.col("line").isNotNull(), place)).filter(
+            F.col("line").isNull() | (F.col("place") <= keep + 1))  # a row without a line takes a place
+        row = F.filter(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"].isNotNull())
+        per_date = staged(top.groupBy("k").agg(F.slice(F.transform(row, lambda x: x["line"]), 1, keep).alias("h"),
+                                               F.max("near").alias("near")), "headlines")
+        full = (F.size("h") >= keep) | (F.col("near") < limit)
+        done.append(per_date.filter(full))
+        waiting, limit = per_date.filter(~full).select("k"), min(10 * limit, 1 << 30)
+        if waiting.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, done)
+    return calendar.join(found, "k").select("date", "h")
 
 
 def build_context(dates: DataFrame, docs: DataFrame, calendar: DataFrame, updated_at: str) -> DataFrame:
