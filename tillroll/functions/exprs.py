@@ -71,6 +71,21 @@ def plain_number(c: Column) -> Column:
     return F.when(F.translate(text, "0123456789.+-eE", "") == "", text.try_cast("double"))
 
 
+def lakhs(x: Column) -> Column:
+    """Rupees in lakhs (1e5)."""
+    return x / F.lit(1e5)
+
+
+def crores(x: Column) -> Column:
+    """Rupees in crores (1e7)."""
+    return x / F.lit(1e7)
+
+
+def short_hash(text: Column) -> Column:
+    """First 16 hexadecimal digits of the SHA-256 of a text."""
+    return F.left(F.sha2(text, 256), F.lit(16))
+
+
 def rnd(x: Column, digits: int) -> Column:
     """Round a double through DECIMAL(38,6), half away from zero, back to double.
 

@@ -134,13 +134,22 @@ def series_outlier(sales: DataFrame) -> DataFrame:
     )
 
 
-def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+def cause_rows(enriched: DataFrame) -> DataFrame:
+    """N6 — one row per anomaly with its cause: condition, holiday and kind of news of its date, whole."""
+    told = F.concat_ws("; ", F.concat(F.lit("weather "), F.col("condition")),
+                       F.concat(F.lit("holiday "), F.coalesce("holiday_name", F.lit("none"))),
+                       F.concat(F.lit("news "), F.coalesce("news_kind", F.lit("none"))))
+    return enriched.select("outlet_name", "date", "severity", told.alias("diagnosis"))
+
+
+def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None, by: list[str] | None = None,
+                 most: int = 200, width: int = 60) -> DataFrame:
     """N6 — anomaly count, distinct zones flagged, overall label, joined causes.
 
     Label: any CRITICAL → CRITICAL; else any anomaly (peaks included) → WARNING; none →
     ALL CLEAR.  ``causes`` (outlet_name, diagnosis) is optional; each becomes
-    ``zone: text[:60]`` and they are joined with ``; `` in sorted order.  The flagged-zone
-    list is bounded by the number of zones.
+    ``zone: text[:width]`` and the first ``most`` in sorted order (a top-k) are joined with ``; `` for the
+    report column; ``cause_rows`` has them all.  The flagged-zone list is bounded by the number of zones.
     """
     keys = by or []
     d = anomalies.groupBy(*keys).agg(
@@ -156,7 +165,7 @@ def alert_digest(anomalies: DataFrame, causes: DataFrame | None = None, by: list
     )
     if causes is None:
         return d
-    c = causes.agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "outlet_name", F.left("diagnosis", F.lit(60))))), "; ").alias("root_causes")
-    )
+    told = F.concat_ws(": ", "outlet_name", F.left("diagnosis", F.lit(width))).alias("told")
+    c = causes.select(told).orderBy("told").limit(most).agg(
+        F.array_join(F.array_sort(F.collect_list("told")), "; ").alias("root_causes"))
     return d.join(c, how="inner")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.exprs import day_str, plain_number, strip
+from tillroll.functions.exprs import day_str, plain_number, short_hash, strip
 from tillroll.operators.ranks import higher_since
 
 # ── Fixed values: patterns that must equal the reference's behaviour ──────────
@@ -103,6 +103,20 @@ def premise_audit(questions: DataFrame, ranks: DataFrame, window: str = "all") -
     )
 
 
+def intent_evidence(tags: DataFrame, premises: DataFrame) -> DataFrame:
+    """Evidence row of every question that an intent answers: window, statement with its hash, and for
+    a decline on a date the premise (``premise_audit``) with its flag."""
+    statement = F.concat_ws(" ", "intent", F.lit("from"), "date_start", F.lit("to"), "date_end", F.lit("zones"),
+                            F.coalesce("zones_named", F.lit("")))
+    asked = tags.where(F.col("intent").isNotNull()).select(
+        "question_id", "intent", "date_start", "date_end", short_hash(statement).alias("statement_hash"))
+    found = premises.select("question_id", F.lit("decline_on_date").alias("intent"), "day_revenue", "rank", "premise_conflict")
+    flagged = F.coalesce("premise_conflict", F.lit(False))
+    return asked.join(found, ["question_id", "intent"], "left").select(
+        "question_id", "intent", "date_start", "date_end", "statement_hash", F.lit("template_sql").alias("premise"),
+        "day_revenue", "rank", F.when(flagged, F.lit("premise_conflict")).alias("guardrail_flags"))
+
+
 # ── T6 / T7 / T8 / T9 ──────────────────────────────────────────────────────────
 def tag_questions(questions: DataFrame, bounds: DataFrame) -> DataFrame:
     """T6–T9 — intent (first match in code order), interpreted window, named zones,

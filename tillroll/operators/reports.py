@@ -69,11 +69,5 @@ def morning_brief(anomalies: DataFrame, ctx: DataFrame, holidays: DataFrame, bas
 
     The cause text stands in for the prose step (not built): condition, holiday and the
     news kind of the anomaly's date."""
-    enriched = context.enrich_anomalies(anomalies, ctx, holidays)
-    causes = enriched.select(
-        "outlet_name",
-        F.concat_ws("; ", F.concat(F.lit("weather "), F.col("condition")),
-                    F.concat(F.lit("holiday "), F.coalesce("holiday_name", F.lit("none"))),
-                    F.concat(F.lit("news "), F.coalesce("news_kind", F.lit("none")))).alias("diagnosis"),
-    )
+    causes = anomaly.cause_rows(context.enrich_anomalies(anomalies, ctx, holidays))
     return anomaly.alert_digest(anomalies, causes).join(bundle_lines(basket), how="inner")

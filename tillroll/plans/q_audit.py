@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillroll.operators import audit
+from tillroll.operators import audit, forecast
 from tillroll.operators.kpi import zone_bounds
 from tillroll.plans.q_context import _CTX
-from tillroll.plans.registry import register, sales_of, with_sales
+from tillroll.plans.registry import ORACLES, QUERIES, register, sales_of, with_sales
 from tillroll.sources import question_log as ql
 
 _P = {k: getattr(audit, k).replace("'", "''") for k in (
@@ -231,3 +231,33 @@ SELECT COALESCE(intent, 'none') AS intent, COUNT(*) AS questions FROM q2 GROUP B
 def t6_counts(spark, sf):
     tags = t6(spark, sf)
     return tags.groupBy(F.coalesce("intent", F.lit("none")).alias("intent")).agg(F.count(F.lit(1)).alias("questions"))
+
+
+@register("fn_Hash_intent_evidence", f"""
+WITH tags AS ({ORACLES["T6_T7_T8_T9_intent_tags"]}), premises AS ({ORACLES["T1_J8_premise_audit"]})
+SELECT t.question_id, t.intent, t.date_start, t.date_end,
+       left(sha256(t.intent || ' from ' || t.date_start || ' to ' || t.date_end || ' zones ' || COALESCE(t.zones_named, '')), 16) AS statement_hash,
+       'template_sql' AS premise, p.day_revenue, p.rank,
+       CASE WHEN p.premise_conflict THEN 'premise_conflict' END AS guardrail_flags
+FROM tags t LEFT JOIN premises p ON p.question_id = t.question_id AND t.intent = 'decline_on_date'
+WHERE t.intent IS NOT NULL""")
+def evidence(spark, sf):
+    return audit.intent_evidence(t6(spark, sf), QUERIES["T1_J8_premise_audit"](spark, sf))
+
+
+@register("M10_zone_matches", with_sales(f"""
+WITH t AS ({ORACLES["T10_scenario_tags"]}),
+named AS (SELECT scenario_id, CASE WHEN substr(scenario_id, 10, 1) = '1' THEN lower(left(zone, 4)) WHEN substr(scenario_id, 10, 1) = '2'
+          THEN 'the ' || zone || ' zone' WHEN substr(scenario_id, 10, 1) = '3' THEN 'nowhere' ELSE zone END AS asked FROM t),
+z AS (SELECT DISTINCT ZONE FROM sales WHERE ZONE IS NOT NULL AND ZONE <> '')
+SELECT scenario_id, asked, COALESCE((SELECT MIN(ZONE) FROM z WHERE contains(upper(z.ZONE), upper(asked)) OR contains(upper(asked), upper(z.ZONE))), asked) AS zone
+FROM named"""))
+def m10(spark, sf):
+    """Zones asked for in part, inside other words, by unknown names, and in full."""
+    bounds = zone_bounds(sales_of(spark, sf, "ZONE", "INVOICE_DATE"))
+    last = F.substring("scenario_id", 10, 1)
+    asked = (F.when(last == "1", F.lower(F.left("zone", F.lit(4)))).when(last == "2", F.concat(F.lit("the "), "zone", F.lit(" zone")))
+             .when(last == "3", F.lit("nowhere")).otherwise(F.col("zone")))
+    named = QUERIES["T10_scenario_tags"](spark, sf).select("scenario_id", asked.alias("asked"))
+    return named.join(bounds.select("zones"), how="inner").select(
+        "scenario_id", "asked", forecast.match_zone(F.col("asked"), F.col("zones")).alias("zone"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillroll.functions.exprs import day_str
+from tillroll.operators import anomaly
 from tillroll.operators import context as cx
 from tillroll.operators.anomaly import detect_anomalies
 from tillroll.operators.kpi import zone_day_revenue
@@ -266,3 +267,11 @@ def f10(spark, sf):
     c = _feed(spark, sf)
     return c.filter(F.col("news_disruptors").isNotNull() & ~F.col("news_disruptors").ilike("No headlines%")).agg(
         F.count(F.lit(1)).alias("rows"))
+
+
+@register("N6_cause_rows", f"""
+SELECT outlet_name, date, severity, concat_ws('; ', 'weather ' || condition, 'holiday ' || COALESCE(holiday_name, 'none'),
+                                              'news ' || COALESCE(news_kind, 'none')) AS diagnosis
+FROM ({ORACLES["N7_anomaly_context"]})""")
+def n6_causes(spark, sf):
+    return anomaly.cause_rows(n7(spark, sf))

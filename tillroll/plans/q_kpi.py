@@ -398,3 +398,12 @@ SELECT STOCKIEST, {_REV} AS revenue, COUNT(DISTINCT INVOICE_NO) AS orders, COUNT
 FROM sales GROUP BY STOCKIEST"""))
 def a16c(spark, sf):
     return kpi.rollup(sales_of(spark, sf, "STOCKIEST", "INVOICE_NO", "NET_AMT"), ["STOCKIEST"])
+
+
+@register("fn_Unit_revenue", with_sales("""
+SELECT ZONE AS outlet_name, CAST(ROUND(CAST(CAST(SUM(NET_AMT) AS DOUBLE) AS DECIMAL(38,6)), 2) AS DOUBLE) AS revenue,
+       CAST(ROUND(CAST(CAST(SUM(NET_AMT) AS DOUBLE) / 100000 AS DECIMAL(38,6)), 2) AS DOUBLE) AS revenue_lakh,
+       CAST(ROUND(CAST(CAST(SUM(NET_AMT) AS DOUBLE) / 10000000 AS DECIMAL(38,6)), 2) AS DOUBLE) AS revenue_cr
+FROM sales GROUP BY ZONE"""))
+def fn_unit(spark, sf):
+    return kpi.revenue_units(sales_of(spark, sf, "ZONE", "NET_AMT"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tillroll.operators import anomaly, basket, reports
+from tillroll.plans import q_anomaly, q_basket, q_context  # noqa: F401  (their oracles are parts of these)
 from tillroll.plans.q_kpi import D0, D1, ZONES
 from tillroll.plans.registry import ORACLES, register, sales_of
 from tillroll.sources import context_feed as cf
@@ -30,7 +31,21 @@ def r1(spark, sf):
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-@register("R2_proactive_brief")
+def _brief_sql() -> str:
+    n = lambda x: f"format('{{:,}}', CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 0) AS BIGINT))"
+    one = lambda x: f"printf('%.1f', CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 1) AS DOUBLE))"
+    return f"""
+SELECT 'revenue_anomaly' AS signal, date || '  ' || direction || ' avg by ' || {one("abs(z_score)")} || 'σ  (₹' || {n("revenue")}
+       || ' vs avg ₹' || {n("mean_rev")} || ')' AS label, date, z_score AS value FROM ({ORACLES["N5_series_outlier_day"]})
+UNION ALL
+SELECT 'top_power_combo', 'Lift ' || {one("lift")} || 'x — ' || left(item_a, 22) || ' + ' || left(item_b, 22) || ' → Bundle ₹'
+       || {n("bundle_price")} || '  AOV +' || {n("aov_lift_pct")} || '%', NULL, bundle_price
+FROM (SELECT * FROM ({ORACLES["B4_power_combos"]}) ORDER BY lift DESC, co_count DESC, item_a, item_b LIMIT 1)
+UNION ALL
+SELECT 'market_risk', label, date, NULL FROM ({ORACLES["C9_market_risk"]})"""
+
+
+@register("R2_proactive_brief", _brief_sql())
 def r2(spark, sf):
     from tillroll.plans.q_basket import _combos
     combos = _combos(spark, sf)[0]
