@@ -257,8 +257,8 @@ FROM anoms a LEFT JOIN look l ON l.date = a.date LEFT JOIN news n ON n.date = a.
 
 @register("N7_anomaly_context", _n7_sql())
 def n7(spark, sf):
-    an = detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
-    return cx.enrich_anomalies(an, _feed(spark, sf), cf.holiday_table(an.select(F.col("date").cast("date").alias("date"))))
+    an = io.staged(detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")), "anomalies")
+    return cx.enrich_anomalies(an, io.staged(_feed(spark, sf), "context"), cf.holiday_table(an.select(F.col("date").cast("date").alias("date"))))
 
 
 @register("F10_usable_disruptors", _ctx_sql("""

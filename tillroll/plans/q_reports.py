@@ -52,11 +52,26 @@ def r2(spark, sf):
     return reports.proactive_brief(sales_of(spark, sf, "INVOICE_DATE", "NET_AMT"), combos, cf.context_feed(spark, sf))
 
 
-@register("R3_morning_brief")
+def _morning_sql() -> str:
+    live = ORACLES["B5_live_basket"]
+    start, end = live.index("f AS (SELECT * FROM sales WHERE"), live.index("bi AS (SELECT INVOICE_NO")
+    live = live[:start] + "f AS (SELECT * FROM sales),\n" + live[end:].replace("LIMIT 8", "LIMIT 5")
+    return f"""
+WITH told AS (SELECT outlet_name || ': ' || left(diagnosis, 60) AS t FROM ({ORACLES["N6_cause_rows"]}) ORDER BY 1 LIMIT 200),
+best AS ({live})
+SELECT CAST(0 AS BIGINT) AS batch, 'morning' AS timestamp, anomaly_count, outlets_flagged,
+       left((SELECT string_agg(t, '; ' ORDER BY t) FROM told), 200) AS root_cause_summary, 'LOGGED' AS email_status, '' AS recipient,
+       (SELECT string_agg(printf('%s + %s → ₹%.0f', item_a, item_b, bundle_price), '; ' ORDER BY lift DESC, co_count DESC, item_a, item_b)
+        FROM best) AS bundles
+FROM ({ORACLES["N6_alert_digest"]})"""
+
+
+@register("R3_morning_brief", _morning_sql())
 def r3(spark, sf):
-    an = anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT"))
+    an = io.staged(anomaly.detect_anomalies(sales_of(spark, sf, "ZONE", "INVOICE_DATE", "NET_AMT")), "anomalies")
+    ctx = io.staged(cf.context_feed(spark, sf), "context")  # both are read by several steps
     top = basket.live_basket(sales_of(spark, sf, "INVOICE_NO", "PRODUCT", "NET_AMT", "QTY_PACKS"), top_n=5)
-    brief = reports.morning_brief(an, cf.context_feed(spark, sf), cf.holiday_table(cf.sales_dates(spark, sf)), top)
+    brief = reports.morning_brief(an, ctx, cf.holiday_table(cf.sales_dates(spark, sf)), top)
     digest = io.load_table(brief, io.scratch_path(spark, "morning_brief"))
     path = io.scratch_path(spark, "morning_brief_history")
     io.log_notification(digest.select(
