@@ -42,7 +42,7 @@ def s1(spark, sf):
 _RAW_TAX = f"raw AS ({rf.feed_sql('tax_charge')})"
 _NOT_EMPTY = " OR ".join(f'"{h}" IS NOT NULL' for h in rf.RAW_HEADERS["tax_charge"])
 _TITLES = ["Tax charge report", "", "All outlets, one row a bill line"]
-_NUMBERS = ("Bill No", "BaiscRate", "Sales Qty")  # the columns whose values are all numbers
+_NUMBERS = ("Bill No", "BaiscRate", "Sales Qty", "CGST Amt", "SGST Amt", "Total GST Amt")  # the columns whose values are all numbers
 
 
 def _typed_sql(typed: bool) -> str:

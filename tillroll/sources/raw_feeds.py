@@ -15,13 +15,15 @@ written in three formats.  ``*_SQL`` twins build the same frames in DuckDB.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.sources.tables import sales
 
 _LINE_COLS = ["INVOICE_NO", "LINE_NO", "INVOICE_DATE", "ZONE", "STATE", "PRODUCT", "CODE", "CHANNEL",
-              "PRODUCT_CLASS", "BASIC_RATE", "QTY_PACKS", "NET_AMT", "GROSS_AMT", "SCHEME_AMT"]
+              "PRODUCT_CLASS", "BASIC_RATE", "QTY_PACKS", "NET_AMT", "GROSS_AMT", "SCHEME_AMT", "GRP_SCHEME_AMT"]
 
 
 def _key() -> Column:
@@ -41,6 +43,16 @@ def _money_text(x: Column, k: Column) -> Column:
     return F.when(k % 89 == 0, F.lit("n/a")).otherwise(F.round(x, 2).cast("decimal(18,2)").cast("string"))
 
 
+def _plain_money(x: Column) -> Column:
+    return F.round(x, 2).cast("decimal(18,2)").cast("string")
+
+
+def _clock(k: Column) -> Column:
+    """hh:mm of a day's trade, 06:00 to 22:59."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(two((k % 17) + 6), F.lit(":"), two(k % 60))
+
+
 def _outlet_text(z: Column, k: Column) -> Column:
     return F.when(k % 101 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), z, F.lit(" ")))
 
@@ -65,6 +77,12 @@ def tax_charge_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         _date_text(F.col("INVOICE_DATE"), k).alias("Date"),
         F.col("QTY_PACKS").cast("string").alias("Sales Qty"),
         _money_text(F.col("NET_AMT"), k).alias("Net Amt"),
+        F.concat(F.lit("Special "), (k % 4).cast("string")).alias("Product Special Category"),
+        _plain_money(F.col("GRP_SCHEME_AMT") * F.lit(Decimal("0.5"))).alias("CGST Amt"),
+        _plain_money(F.col("GRP_SCHEME_AMT") * F.lit(Decimal("0.5"))).alias("SGST Amt"),
+        _plain_money(F.col("GRP_SCHEME_AMT")).alias("Total GST Amt"),
+        _clock(k).alias("KOT Print Time"),
+        F.concat(F.lit("Taker "), (k % 25).cast("string")).alias("Order Taker"),
         k.alias("_k"),
     )
     return _blank_row(out, F.col("_k")).drop("_k")
@@ -82,6 +100,12 @@ def hourly_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lpad(((k % 17) + 6).cast("string"), 2, "0"), F.lit(":00")).alias("Hours"),
         F.col("CHANNEL").alias("Type"),
         F.date_format("INVOICE_DATE", "EEEE").alias("Day Of Week"),
+        F.col("CODE").alias("Brand Name"),
+        F.concat(F.lit("W"), (k % 9).cast("string")).alias("WOK ID"),
+        _plain_money(F.col("GROSS_AMT")).alias("Basic Amt"),
+        _plain_money(F.col("SCHEME_AMT")).alias("Void Amt"),
+        (k % 997).cast("string").alias("ProductID"),
+        F.dayofweek("INVOICE_DATE").cast("string").alias("DayNo"),
         k.alias("_k"),
     )
     return _blank_row(out, F.col("_k")).drop("_k")
@@ -141,6 +165,10 @@ def _sql_money(x: str, k: str) -> str:
     return f"CASE WHEN {k} % 89 = 0 THEN 'n/a' ELSE CAST(CAST(ROUND({x}, 2) AS DECIMAL(18,2)) AS VARCHAR) END"
 
 
+def _sql_plain(x: str) -> str:
+    return f"CAST(CAST(ROUND({x}, 2) AS DECIMAL(18,2)) AS VARCHAR)"
+
+
 def _sql_outlet(z: str, k: str) -> str:
     return f"CASE WHEN {k} % 101 = 0 THEN '   ' ELSE ' ' || {z} || ' ' END"
 
@@ -159,13 +187,20 @@ def feed_sql(name: str) -> str:
             ("Channel Type", "CHANNEL"), ("Bill No", "CAST(INVOICE_NO AS VARCHAR)"), ("Product Group", "PRODUCT_CLASS"),
             ("BaiscRate", "CAST(BASIC_RATE AS VARCHAR)"), ("City", "STATE"), ("Date", _sql_date("INVOICE_DATE", k)),
             ("Sales Qty", "CAST(QTY_PACKS AS VARCHAR)"), ("Net Amt", _sql_money("NET_AMT", k)),
+            ("Product Special Category", f"'Special ' || ({k} % 4)"),
+            ("CGST Amt", _sql_plain("GRP_SCHEME_AMT * CAST(0.5 AS DECIMAL(2,1))")),
+            ("SGST Amt", _sql_plain("GRP_SCHEME_AMT * CAST(0.5 AS DECIMAL(2,1))")), ("Total GST Amt", _sql_plain("GRP_SCHEME_AMT")),
+            ("KOT Print Time", f"lpad(CAST({k} % 17 + 6 AS VARCHAR), 2, '0') || ':' || lpad(CAST({k} % 60 AS VARCHAR), 2, '0')"),
+            ("Order Taker", f"'Taker ' || ({k} % 25)"),
         ], "sales")
     if name == "hourly":
         return _blank_sql([
             ("Location", _sql_outlet("ZONE", k)), ("Product Name", "PRODUCT"), ("Net Amt", _sql_money("NET_AMT", k)),
             ("Date", _sql_date("INVOICE_DATE", k)), ("Qty", "CAST(QTY_PACKS AS VARCHAR)"),
             ("Hours", f"lpad(CAST({k} % 17 + 6 AS VARCHAR), 2, '0') || ':00'"), ("Type", "CHANNEL"),
-            ("Day Of Week", "strftime(INVOICE_DATE, '%A')"),
+            ("Day Of Week", "strftime(INVOICE_DATE, '%A')"), ("Brand Name", "CODE"), ("WOK ID", f"'W' || ({k} % 9)"),
+            ("Basic Amt", _sql_plain("GROSS_AMT")), ("Void Amt", _sql_plain("SCHEME_AMT")),
+            ("ProductID", f"CAST({k} % 997 AS VARCHAR)"), ("DayNo", "CAST(dayofweek(INVOICE_DATE) + 1 AS VARCHAR)"),
         ], "sales")
     if name == "dsr":
         return """SELECT ZONE AS "Restaurant Name", strftime(INVOICE_DATE, '%Y-%m-%d') AS "Date",
@@ -187,8 +222,10 @@ FROM sales WHERE CHANNEL NOT IN ('1-URGENT', '2-HIGH') GROUP BY INVOICE_DATE, ZO
 # Raw header names per feed (what a reader sees before S2 strips them).
 RAW_HEADERS = {
     "tax_charge": ["  Location Name ", "Product Name ", "Brand Name", "Channel Type", "Bill No", "Product Group",
-                   "BaiscRate", "City", "Date", "Sales Qty", "Net Amt"],
-    "hourly": ["Location", "Product Name", "Net Amt", "Date", "Qty", "Hours", "Type", "Day Of Week"],
+                   "BaiscRate", "City", "Date", "Sales Qty", "Net Amt", "Product Special Category", "CGST Amt", "SGST Amt",
+                   "Total GST Amt", "KOT Print Time", "Order Taker"],
+    "hourly": ["Location", "Product Name", "Net Amt", "Date", "Qty", "Hours", "Type", "Day Of Week", "Brand Name", "WOK ID",
+               "Basic Amt", "Void Amt", "ProductID", "DayNo"],
     "dsr": ["Restaurant Name", "Date", "Total Net Sale", "Total Order Count", "Total Gross Sale", "Total Discount", "State"],
     "aggregator": ["Restaurant Name", "Aggregator Name", "Date", "Net Sales", "Order Count", "Bill Amt"],
 }
