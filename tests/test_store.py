@@ -2,7 +2,7 @@
 
 from fixtures import SF_MID
 from tillroll.operators import anomaly, kpi
-from tillroll.sources import io
+from tillroll.sources import io, tables
 from tillroll.sources.tables import sales, stored_sales
 
 
@@ -58,3 +58,13 @@ def test_catalog_report_counts_each_named_table(spark):
     spark.range(0).createOrReplaceTempView("probe_none")
     rows = {r["table"]: (r["rows"], r["n_columns"], r["columns"]) for r in io.catalog_report(spark, "probe_").collect()}
     assert rows == {"probe_three": (3, 1, "id bigint"), "probe_none": (0, 1, "id bigint")}
+
+
+def test_large_tables_are_joined_in_tasks_that_grow_with_the_lines(spark, monkeypatch):
+    cols = ["INVOICE_NO", "LINE_NO", "PRODUCT", "STOCKIEST", "ZONE", "NET_AMT"]
+    want = tables.sales(spark, SF_MID, cols).collect()
+    monkeypatch.setattr(tables, "LARGE", 50)
+    monkeypatch.setattr(tables, "TASK_LINES", 2000)
+    dealt = tables.sales(spark, SF_MID, cols)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, want))
+    assert dealt.rdd.getNumPartitions() >= len(want) // 2000  # no merged partitions
