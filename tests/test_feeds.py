@@ -66,3 +66,30 @@ def test_counters_come_from_the_write(spark):
     path = io.scratch_path(spark, "counted-test")
     assert io.write_valid_csv(df, clean.valid_outlet(df), path) == {"rows_before": 4, "rows_after": 2, "dropped": 2}
     assert sorted(r["v"] for r in io.read_feed_csv(spark, path).collect()) == ["1", "4"]
+
+
+def test_a_sheet_is_written_by_many_tasks_and_lines_are_not_dealt_by_file(spark):
+    df = spark.range(4000).selectExpr("concat('a ', id) AS x", "CAST(id AS string) AS n")
+    path = io.scratch_path(spark, "sheet-parts-test")
+    io.write_sheets(df, path, ["Title"], sheets=2)
+    lines = spark.read.text(path).selectExpr("input_file_name() AS f").groupBy("f").count()
+    assert lines.count() > 2 and lines.agg({"count": "max"}).first()[0] < 2000  # no file holds a whole sheet
+    back = io.read_feed_csv(spark, path, header_row=1)
+    assert "hashpartitioning(file" not in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_dates_take_one_replacement_and_numbers_one_pattern(spark):
+    std = clean.standardise(spark.createDataFrame([("A", "1-2-2026", " 1e3\t")], "Location string, Date string, `Net Amt` string"), clean.HOURLY, False)
+    plan = std._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(regexp_replace(" not in plan and "translate(" not in plan
+    assert (std.first()["date"], std.first()["net_revenue"]) == ("2026-01-02", 1000.0)
+
+
+def test_profile_cleans_the_feed_once_and_sorts_no_rows(spark):
+    rows = [("2026-01-02", "B", "x"), ("2026-01-01", "A", None), (None, "A", "x"), ("2026-01-02", "B", "x")]
+    got = clean.profile(spark.createDataFrame(rows, "date string, outlet_name string, item_name string"), "f")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "ExistingRDD" not in plan
+    r = got.first()
+    assert (r["min_date"], r["max_date"], r["outlets"], r["first_outlets"], r["items"]) == ("2026-01-01", "2026-01-02", 2, "A, B", 1)
