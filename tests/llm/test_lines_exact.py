@@ -52,3 +52,12 @@ def test_misra_gries_keeps_every_frequent_digest(spark):
         F.col("id").cast("string")).cast("binary").alias("digest"))
     found = exactdedup.misra_gries(rows, 5).collect()
     assert b"hot" in {bytes(r["digest"]) for r in found} and len(found) <= 11
+
+
+def test_digests_are_taken_from_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    kept = exactdedup.staged
+    monkeypatch.setattr(exactdedup, "staged", lambda df, name: (seen.append((name, spark.conf.get(key))), kept(df, name))[1])
+    before = spark.conf.get(key)
+    exactdedup.exact_groups(spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")).collect()
+    assert int(dict(seen)["digests"]) <= 500 and spark.conf.get(key) == before

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -98,6 +99,19 @@ def release() -> None:
     _held.clear()
 
 
+@contextmanager
+def documents_at_once(spark: SparkSession, rows: int):
+    """While this lasts, at most ``rows`` rows (fewer where the session says so) go to a Python worker at once:
+    what a batch of long texts holds, in the executor and in the worker, stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced(batches, rows: int):
     """Record batches of at most ``rows`` rows: what is made of a batch at once stays small."""
     for batch in batches:

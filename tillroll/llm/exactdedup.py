@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType
 
-from tillroll.llm.common import ROW, document_text, field, packed, release, staged, unpacked
+from tillroll.llm.common import ROW, document_text, documents_at_once, field, packed, release, staged, unpacked
 
 COUNTERS = 2000
+BATCH = 500  # documents that go to a Python worker at once
 
 
 @F.arrow_udf(BinaryType())
@@ -74,9 +75,10 @@ def heavy_winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest (binary SHA-256)."""
-    digests = staged(packed(docs).select(field("doc_id").cast("long").alias("doc_id"),
-                                         folded_digest(document_text()).alias("digest"))
-                     .withColumn("uid", F.monotonically_increasing_id()), "digests")
+    with documents_at_once(docs.sparkSession, BATCH):
+        digests = staged(packed(docs).select(field("doc_id").cast("long").alias("doc_id"),
+                                             folded_digest(document_text()).alias("digest"))
+                         .withColumn("uid", F.monotonically_increasing_id()), "digests")
     heavy = heavy_winners(digests, counters)
     settled = digests.join(F.broadcast(heavy), "digest", "left")
     light = settled.where(F.col("group_size").isNull())
