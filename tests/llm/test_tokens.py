@@ -53,6 +53,17 @@ def test_words_encode_like_whole_texts(text):
     assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_in_any_case_and_before_any_stops_are_one_piece():
+    own = packing.WordEncoder(open(WORDS, encoding="utf-8").read())
+    before = set(own.pieces)
+    text = "Zebra zebra, ZEBRA; (zebra) ébène Ébène. x²! İÇ Σας don't '' m1n -- \x1c e\u0301"
+    for _ in range(2):
+        for t in (text, text[:30], text[30:60]):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    own.encode("zebra Zebra, ZEBRA;")
+    assert {p for p in set(own.pieces) - before if p.isascii() and p.startswith("zeb")} == {"zebra"}
+
+
 def check_packing(pieces, rows, window):
     tok = Tokenizer.from_file(WORDS)
     want = sorted((d, tuple(tok.encode(t or "", add_special_tokens=False).ids + [2])) for d, t, *_ in rows)

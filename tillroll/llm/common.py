@@ -11,6 +11,8 @@ import uuid
 from contextlib import contextmanager
 from itertools import islice
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillroll.session import checkpoint_dir
@@ -119,6 +121,15 @@ def sliced(batches, rows: int):
             yield batch.slice(at, rows)
 
 
+def by_bytes(batches, column: int, size: int):
+    """Parts of the record batches whose strings in ``column`` make up about ``size`` bytes, or one row."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(upto // size)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            yield batch.slice(at, to - at)
+
+
 class Memo(dict):
     """Bounded memo of ``make``: when full, the older half goes."""
 

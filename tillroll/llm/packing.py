@@ -19,15 +19,18 @@ rows that share an id are packed one by one; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import string
 import unicodedata
+from struct import pack as pack_numbers
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from tillroll.llm.common import Memo, document_text, field, held, packed, release, sliced, staged
+from tillroll.llm.common import Memo, by_bytes, document_text, field, held, packed, release, sliced, staged
 
 WINDOW = 4096
 #: least whole tokens of a window that a queue of its own must be due
@@ -35,8 +38,13 @@ LEAST = 4
 END = 2
 #: documents whose ids are held at once
 SLICE = 512
-WORDS, LETTERS = 150_000, 350_000
-STOPS = string.punctuation.replace("'", "")
+WORDS, PIECES = 50_000, 300_000
+#: bytes of text (or one document) whose words are held at once
+TEXT = 1 << 22
+_STOPS = re.escape(string.punctuation.replace("'", ""))
+#: one word a line: its letters where only stops follow, the stops at its end, any other word as a whole, its end
+_pieces = re.compile(rf"[^\W\d_]++(?=[{_STOPS}]*+\n)|[{_STOPS}]++(?=\n)|[^\n]+|\n").findall
+_BREAK = 2**32 - 1
 PROBES = ("Word", "word.", "Élan,", "straße?!", "çà", "日本", "и", "extraordinarily...")
 _STEP = 256
 #: the letters that byte-level models write bytes with: printable bytes themselves, the rest from 256 on
@@ -46,42 +54,72 @@ _BYTE_LETTERS = {b: chr(b) for b in _SHOWN} | {
 
 
 class WordEncoder:
-    """Packed ids of a text, word by word (split at white space), for tokenizers that drop white
-    space and so encode words one by one; words are memoised.
+    """Ids of texts, word by word (split at white space), for tokenizers that drop white space and
+    so encode words one by one.  The different words of many texts are encoded together.
 
-    Where the definition allows (checked on ``PROBES``), a word of letters in normal form goes to the
-    tokenizer's model alone, apart from the stops after it, and is memoised once for both cases.
+    Where the definition allows (checked on ``PROBES``), words in normal form are lower-cased and cut by one
+    pattern; letters go to the tokenizer's model alone, apart from the stops after them, and are memoised.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.model = self.tokenizer.model
-        self.letters, self.stops = Memo(self._letters, LETTERS), Memo(self._whole, 1000)
-        self.words = Memo(self._word, WORDS)
-        self.direct = all(self._by_parts(w) == self._whole(w) for w in PROBES)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        return (self.direct and self._by_parts(text)) or self._whole(text)
+        self.pieces, self.words = Memo(self._piece, PIECES), Memo(self._whole, WORDS)
+        self.direct = True
+        self.direct = all(self.encode(w) == self._whole(w) for w in PROBES)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _by_parts(self, text: str) -> bytes | None:
-        """None where only the tokenizer as a whole can tell."""
-        core = text.rstrip(STOPS)
-        low = core.lower()
-        if not low.isalpha() or "Σ" in core or not (core.isascii() or unicodedata.is_normalized("NFC", core)):
-            return None
-        ids = self.letters[low]
-        return ids + self.stops[text[len(core):]] if len(core) < len(text) else ids
-
-    def _letters(self, low: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, low: str) -> bytes:
+        if low == "\n":
+            return _packed([_BREAK])
+        if not low.isalpha():
+            return self._whole(low)
         seen = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(seen)])
+
+    def _odd(self, text: str) -> bool:
+        """Whether only the tokenizer as a whole can tell: it lower-cases letter by letter."""
+        return not self.direct or "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text)
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where in them each of ``words`` (without white space) starts and ends."""
+        line = pa.LargeListArray.from_arrays(pa.array([0, len(words)]), words)
+        text, odd = pc.binary_join(line, "\n")[0].as_py() + "\n" if len(words) else "", {}
+        if self._odd(text):
+            rows = words.to_pylist()
+            odd = {i: self.words[w] for i, w in enumerate(rows) if self._odd(w)}
+            text = "\n".join(["" if i in odd else w for i, w in enumerate(rows)] + [""])
+        ids = np.frombuffer(b"".join(map(self.pieces.__getitem__, _pieces(text.lower()))), "<u4")
+        ends = np.flatnonzero(ids == _BREAK)
+        starts = np.concatenate([[0], ends + 1])[:len(ends)]
+        if odd:
+            sizes = np.array([len(x) // 4 for x in odd.values()])
+            at = np.fromiter(odd, np.int64)
+            ends[at] = len(ids) + np.cumsum(sizes)
+            starts[at] = ends[at] - sizes
+            ids = np.concatenate([ids, np.frombuffer(b"".join(odd.values()), "<u4")])
+        return ids, starts, ends
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's ids end."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, starts, ends = self._distinct(coded.dictionary)
+        words = coded.indices.to_numpy()
+        sizes = (ends - starts)[words]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat((starts[words] - upto[:-1]).astype(np.int32), sizes)
+        places += np.arange(upto[-1], dtype=np.int32)
+        return ids[places], upto[np.cumsum(pc.list_value_length(split).to_numpy())]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _packed(ids: list[int]) -> bytes:
+    return pack_numbers(f"<{len(ids)}I", *ids)
 
 
 def encoder(definition: str) -> WordEncoder:
@@ -155,18 +193,20 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     kind = id_type(path)
 
     def run(batches):
-        own, tail = encoder(definition.value), np.array([end], "<u4").tobytes()
+        own = encoder(definition.value)
         ahead: dict[str, int] = {}
-        for batch in sliced(batches, SLICE):
-            starts, sizes, ids = [], [], []
-            for source, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                data = np.frombuffer(own.encode(text) + tail, "<u4")
+        for batch in by_bytes(batches, 3, TEXT):
+            ids, ends = own.encode_all(batch.column(3))
+            ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+            starts, sizes = [], np.diff(ends, prepend=0).tolist()
+            for source, n in zip(batch.column(2).to_pylist(), sizes):
                 starts.append(ahead.get(source, 0))
-                sizes.append(len(data))
-                ahead[source] = starts[-1] + len(data)
-                ids.append(data.astype(kind).tobytes())
+                ahead[source] = starts[-1] + n
+            data = ids.astype(kind)
+            offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                [*batch.columns[:3], pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])],
                 ["pid", "doc_id", "source", "start", "n", "ids"])
 
     return staged(rows.mapInArrow(run, "pid int, doc_id long, source string, start long, n long, ids binary"), "tokens")
