@@ -1,7 +1,7 @@
 """Operators give the same results on the materialised, month-partitioned fact."""
 
 from fixtures import SF_MID
-from tillroll.operators import anomaly, kpi
+from tillroll.operators import anomaly, basket, kpi
 from tillroll.sources import io, tables
 from tillroll.sources.tables import sales, stored_sales
 
@@ -68,3 +68,14 @@ def test_large_tables_are_joined_in_tasks_that_grow_with_the_lines(spark, monkey
     dealt = tables.sales(spark, SF_MID, cols)
     assert sorted(map(str, dealt.collect())) == sorted(map(str, want))
     assert dealt.rdd.getNumPartitions() >= len(want) // 2000  # no merged partitions
+
+
+def test_bills_of_large_tables_are_summed_where_the_orders_are_joined(spark, monkeypatch):
+    cols = ["INVOICE_NO", "PRODUCT", "NET_AMT", "QTY_PACKS"]
+    want = basket.bill_items(tables.sales(spark, SF_MID, cols)).collect()
+    monkeypatch.setattr(tables, "LARGE", 50)
+    monkeypatch.setattr(tables, "TASK_LINES", 2000)
+    dealt = basket.bill_items(tables.sales(spark, SF_MID, cols))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, want))
+    n_lines = tables.read_table(spark, SF_MID, "lineitem").count()
+    assert dealt.rdd.getNumPartitions() == -(-n_lines // 2000)  # no shuffle after that of the orders
