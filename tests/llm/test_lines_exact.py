@@ -61,3 +61,10 @@ def test_digests_are_taken_from_small_batches(spark, monkeypatch):
     before = spark.conf.get(key)
     exactdedup.exact_groups(spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")).collect()
     assert int(dict(seen)["digests"]) <= 500 and spark.conf.get(key) == before
+
+
+def test_a_task_takes_digests_in_one_python_worker(spark, docs):
+    stay = exactdedup.drop_exact_copies(docs([(1, "a"), (2, "A"), (3, "b")]))
+    plan = stay._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in stay.collect()) == [2, 3]
+    assert plan.count("ArrowEvalPython") == 2  # of the rows whose digest is frequent, and of the others

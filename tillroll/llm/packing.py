@@ -40,7 +40,7 @@ END = 2
 SLICE = 512
 WORDS, PIECES = 50_000, 300_000
 #: bytes of text (or one document) whose words are held at once
-TEXT = 1 << 22
+TEXT = 1 << 19
 _STOPS = re.escape(string.punctuation.replace("'", ""))
 #: one word a line: its letters where only stops follow, the stops at its end, any other word as a whole, its end
 _pieces = re.compile(rf"[^\W\d_]++(?=[{_STOPS}]*+\n)|[{_STOPS}]++(?=\n)|[^\n]+|\n").findall
