@@ -63,6 +63,20 @@ def test_digests_are_taken_from_small_batches(spark, monkeypatch):
     assert int(dict(seen)["digests"]) <= 500 and spark.conf.get(key) == before
 
 
+def test_lines_are_taken_once_from_small_batches(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    kept = getattr(linededup, "staged", None)
+    monkeypatch.setattr(linededup, "staged", lambda df, name: (seen.append((name, spark.conf.get(key))), kept(df, name))[1],
+                        raising=False)
+    before = spark.conf.get(key)
+    rows = spark.createDataFrame([(1, "a line of some length\nb"), (2, "A line of some length")], "doc_id long, text string")
+    got = linededup.dedup_lines(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["lines"]["kept_text"] for r in got.collect()) == ["", "a line of some length\nb"]
+    assert int(dict(seen)["line-keys"]) <= 500 and spark.conf.get(key) == before
+    assert "MapInArrow" not in plan
+
+
 def test_a_task_takes_digests_in_one_python_worker(spark, docs):
     stay = exactdedup.drop_exact_copies(docs([(1, "a"), (2, "A"), (3, "b")]))
     plan = stay._jdf.queryExecution().executedPlan().toString()

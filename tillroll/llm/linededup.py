@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillroll.llm.common import document_text, field, packed
+from tillroll.llm.common import document_text, documents_at_once, field, packed, release, staged
 
+BATCH = 500  # documents that go to a Python worker at once
 BLANKS = b" \t\n\x0b\x0c\r"
 NULL_ID = -(2**63)
 
@@ -27,6 +28,7 @@ def _explode(min_chars: int):
     """(d, h1, h2, text) -> a row per line whose key is long enough: position and key hash."""
 
     def run(batches):
+        release()
         for batch in batches:
             ids, a, b, texts = (batch.column(i) for i in range(4))
             row, place, k1, k2 = [], [], [], []
@@ -62,7 +64,8 @@ def line_keys(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """``docs`` rows plus ``n_lines``, ``n_dropped`` and ``kept_text`` under column ``lines``
     (a struct, so that it clashes with nothing); the row itself is the struct ``__row``."""
-    lines = line_keys(docs, min_chars)
+    with documents_at_once(docs.sparkSession, BATCH):
+        lines = staged(line_keys(docs, min_chars), "line-keys")
     repeated = (lines.groupBy("k1", "k2").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d"))
                 .where("first_d <> last_d").select("k1", "k2", "first_d"))
     drops = (lines.join(repeated, ["k1", "k2"]).where("d <> first_d")
