@@ -1,5 +1,8 @@
 """Date layouts against another parser, headers below titles in split files, counters of a write."""
 
+import glob
+import os
+import time
 import warnings
 
 import pandas as pd
@@ -7,8 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import clean
+from tillroll.plans import q_clean
+from tillroll.session import checkpoint_dir
 from tillroll.sources import io
 
+SF = "/root/testdata/sf0.001"
+
 DATES = ["05-12-2026", "05-13-2026", "2026-01-05T10:00:00", "2026/01/05", "01/05/2026 10:11:12", "2026-01-05 10:11:12.500",
          "5/1/2026", "13-05-2026", "13/05/2026", "2026-1-5", "5 Jan 2026", "Jan 5, 2026", "05-Jan-2026", "January 5 2026",
          "2026-01-05 10:11", "01/05/26", "31/12/99", "not a date", "", "2026-13-01", "2026-02-30", "2026-01-05T10:00:00Z",
@@ -93,3 +100,43 @@ def test_profile_cleans_the_feed_once_and_sorts_no_rows(spark):
     assert "Scan parquet" in plan and "ExistingRDD" not in plan
     r = got.first()
     assert (r["min_date"], r["max_date"], r["outlets"], r["first_outlets"], r["items"]) == ("2026-01-01", "2026-01-02", 2, "A, B", 1)
+
+
+def _local(path):
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_csv_is_gzipped_in_files_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(io, "FILE_ROWS", 100)
+    df = spark.range(0, 1000, 1, 2).selectExpr("concat(' a, ', id) AS x", "CAST(id AS string) AS n")
+    path = io.scratch_path(spark, "gzip-test")
+    io.write_csv(df, path)
+    assert len(glob.glob(f"{_local(path)}/*.csv.gz")) == 10 and not glob.glob(f"{_local(path)}/*.csv")
+    assert sorted(map(tuple, io.read_feed_csv(spark, path).collect())) == sorted(map(tuple, df.collect()))
+
+
+@pytest.mark.parametrize("write", [lambda df, path: io.staged(df, "freed-test"), io.write_csv])
+def test_shuffle_files_of_a_write_go_with_it(spark, write):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, conf = _shuffle_files(spark), spark.conf.get(key)
+    write(spark.range(5000).repartition(7, "id").selectExpr("CAST(id AS string) AS n"), io.scratch_path(spark, "freed-test"))
+    until = time.time() + 20  # files go in the background
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before and spark.conf.get(key) == conf
+
+
+def test_write_counters_keep_the_written_feeds_and_one_raw_feed(spark):
+    folder = f"{_local(checkpoint_dir(spark))}/tillroll"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = {r["feed"]: r for r in q_clean.e6_counters(spark, SF).collect()}
+    new = {f.rsplit("-", 1)[0]: f for f in sorted(set(os.listdir(folder)) - before)}
+    assert sorted(new) == sorted(["raw_feed", *[f"cleaned_{n}" for n in clean.SPECS]]) and len(set(os.listdir(folder)) - before) == 5
+    for n, r in rows.items():
+        assert io.read_feed_csv(spark, f"{folder}/{new[f'cleaned_{n}']}").count() == r["rows_after"] > 0
+    assert rows["tax_charge"]["dropped"] > 0
