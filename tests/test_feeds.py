@@ -120,7 +120,8 @@ def test_csv_is_gzipped_in_files_of_bounded_rows(spark, monkeypatch):
     assert sorted(map(tuple, io.read_feed_csv(spark, path).collect())) == sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("write", [lambda df, path: io.staged(df, "freed-test"), io.write_csv])
+@pytest.mark.parametrize("write", [lambda df, path: io.staged(df, "freed-test"), io.write_csv,
+                                   lambda df, path: io.write_sheets(df, path, ["Title"], sheets=2), io.load_table])
 def test_shuffle_files_of_a_write_go_with_it(spark, write):
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before, conf = _shuffle_files(spark), spark.conf.get(key)
@@ -140,3 +141,36 @@ def test_write_counters_keep_the_written_feeds_and_one_raw_feed(spark):
     for n, r in rows.items():
         assert io.read_feed_csv(spark, f"{folder}/{new[f'cleaned_{n}']}").count() == r["rows_after"] > 0
     assert rows["tax_charge"]["dropped"] > 0
+
+
+def test_sheets_are_written_without_a_shuffle(spark):
+    df = spark.range(0, 3000, 1, 5).select(F.spark_partition_id().cast("string").alias("task"), F.col("id").cast("string").alias("n"))
+    path = io.scratch_path(spark, "sheets-by-task-test")
+    io.write_sheets(df, path, ["Title", "", "a, b"], sheets=3, gzipped=True)
+    assert len(glob.glob(f"{_local(path)}/sheet=*/*.txt.gz")) == 3 * (5 + 1)  # a sheet's file of each task, one of no rows
+    back = io.read_feed_csv(spark, path, header_row=3)
+    assert back.columns == ["task", "n"] and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    tasks = spark.read.text(path).where("value rlike '^[0-9]'").groupBy(F.input_file_name()).agg(
+        F.count_distinct(F.split_part("value", F.lit(","), F.lit(1))).alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] == 1
+
+
+@pytest.mark.parametrize("parts", [0, 1, 3])
+def test_sheets_without_rows_keep_their_titles_and_header(spark, parts):
+    df = spark.range(0, 1 if parts == 0 else 3, 1, max(parts, 1)).selectExpr("CAST(id AS string) AS x", "'b' AS `y, z`").where("x = '7'")
+    df = df.limit(0) if parts == 0 else df
+    path = io.scratch_path(spark, "empty-sheets-test")
+    io.write_sheets(df, path, ["Title"], sheets=2)
+    assert {r["value"] for r in spark.read.text(path).collect()} == {"Title", 'x,"y, z"'}
+    assert len(glob.glob(f"{_local(path)}/sheet=*")) == 2
+    back = io.read_feed_csv(spark, path, header_row=1)
+    assert back.columns == ["x", "y, z"] and back.count() == 0
+
+
+def test_one_task_writes_its_titles_once(spark):
+    df = spark.range(0, 50, 1, 1).selectExpr("CAST(id AS string) AS n")
+    path = io.scratch_path(spark, "one-task-test")
+    io.write_sheets(df, path, ["Title"], sheets=2)
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("f"))
+    assert lines.where("value = 'Title'").groupBy("f").count().agg(F.max("count")).first()[0] == 1
+    assert lines.where("value rlike '^[0-9]'").count() == 50 == io.read_feed_csv(spark, path, header_row=1).distinct().count()
